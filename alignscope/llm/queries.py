@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, exact_dedup, language_id, packing, quality_rules, weak_quality
+from . import byte_bpe, chat_format, exact_dedup, jaccard_join, language_id, packing, quality_rules, weak_quality
 from .common import sha256_text, table
 
 
@@ -27,6 +27,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_near(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return weak_quality.score(docs, weak_quality.train(docs))
@@ -62,7 +66,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_packing, op5_quality_rules, op7_quality_classifier, op8_language_id, op9_byte_bpe, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_packing, op5_quality_rules, op6_jaccard_join, op7_quality_classifier, op8_language_id, op9_byte_bpe, op10_chat_format)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
