@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, cut, fresh, join_groups
+from .common import WHITE, cut, fits_broadcast, fresh, join_groups
 
 #: The characters that count as symbols.
 SYMBOLS = r"[#*$%&|<>]"
@@ -110,12 +110,15 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> Data
     The first pass leaves one row per host; the second tests each document where it stands, so no text is shuffled
     unless the table of hosts is too large to broadcast.
     """
-    name, verdict, n, p = *fresh(docs, "host", "verdict", "n"), fresh(docs, "c")[0]
+    name, verdict, n, p, guard = *fresh(docs, "host", "verdict", "n"), *fresh(docs, "c", "guard")
     hosted = docs.withColumn(name, F.coalesce(F.col(host), F.lit("\0")))
     first = with_counts(hosted.select(F.col(name).alias("host"), F.col(text).alias("text"))).select("host", (base_failed() | soft_failed()).alias("failed"))
     verdicts = cut(host_verdicts(first)).where("verdict > 0").select(F.col("host").alias(name), F.col("n").alias(n), F.col("verdict").alias(verdict))
-    total = docs.count()
-    counted = with_counts(hosted, text, prefix=p)
-    met = join_groups(counted, verdicts, name, n, total)
+    # a filter isn't pushed below a column that isn't deterministic, so the counts are made once, not in its condition
+    counted = with_counts(hosted, text, prefix=p).withColumn(guard, F.monotonically_increasing_id())
+    if fits_broadcast(verdicts.count(), 128):
+        met = counted.join(F.broadcast(verdicts), name, "left")
+    else:
+        met = join_groups(counted, verdicts, name, n, docs.count())
     bad = F.coalesce(F.col(verdict), F.lit(0))
-    return met.where(~base_failed(p) & (bad < 2) & ~(soft_failed(p) & (bad == 1))).select(*docs.columns)
+    return met.where((F.col(guard) >= 0) & ~base_failed(p) & (bad < 2) & ~(soft_failed(p) & (bad == 1))).select(*docs.columns)
