@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, exact_dedup, jaccard_join, language_id, packing, quality_rules, weak_quality
+from . import byte_bpe, chat_format, exact_dedup, html_extract, jaccard_join, language_id, packing, quality_rules, weak_quality
 from .common import sha256_text, table
 
 
@@ -13,6 +13,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.label_copies(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -66,7 +70,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_packing, op5_quality_rules, op6_jaccard_join, op7_quality_classifier, op8_language_id, op9_byte_bpe, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_html_extract, op3_packing, op5_quality_rules, op6_jaccard_join, op7_quality_classifier, op8_language_id, op9_byte_bpe, op10_chat_format)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
