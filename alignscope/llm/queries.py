@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, exact_dedup, html_extract, jaccard_join, language_id, packing, quality_rules, weak_quality
+from . import byte_bpe, chat_format, exact_dedup, html_extract, jaccard_join, language_id, license_scan, packing, quality_rules, weak_quality
 from .common import sha256_text, table
 
 
@@ -27,6 +27,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a directory per source and language, and one below it for every thousand documents."""
+    path = F.concat_ws("/", "source", "lang", (F.col("doc_id") / 1000).cast("long").cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path")))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -70,7 +76,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_html_extract, op3_packing, op5_quality_rules, op6_jaccard_join, op7_quality_classifier, op8_language_id, op9_byte_bpe, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_html_extract, op3_packing, op4_license_scan, op5_quality_rules, op6_jaccard_join, op7_quality_classifier, op8_language_id, op9_byte_bpe, op10_chat_format)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
