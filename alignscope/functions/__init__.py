@@ -1 +1 @@
-"""Part of the library."""
+"""Column functions, plus small Python helpers for values that stay on the driver."""

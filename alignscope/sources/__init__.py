@@ -1 +1 @@
-"""Part of the library."""
+"""Readers and writers. All are lazy and distributed unless a docstring says otherwise."""
