@@ -196,7 +196,7 @@ def core_best_label(spark, d):
     return score.first_in(met, ["unit"], F.desc("iou"), F.col("label")).select((F.col("unit") + 1).alias("unit"), "label", "truth", "act", "intersect", "iou")
 
 
-_WIDE = ", ".join(f"max(case when category = '{c}' then "{f}" end) as {c}_{f}" for c in ("c0", "c1") for f in ("label", "truth", "activation", "intersect", "iou"))
+_WIDE = ", ".join(f"max(case when category = '{c}' then \"{f}\" end) as {c}_{f}" for c in ("c0", "c1") for f in ("label", "truth", "activation", "intersect", "iou"))
 
 
 @query("agg_pivot", sql("bl", f"select unit, {_WIDE} from bl group by unit"))
