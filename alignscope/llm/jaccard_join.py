@@ -38,10 +38,10 @@ from .components import components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5
 THRESHOLD = NUMERATOR / DENOMINATOR
-TOKENS, SHORT, REACH, RECALL = 128, 64, 1.6, 0.99999
+TOKENS, REACH, RECALL = 128, 1.6, 0.9999
 BUCKET, DEPTH = 1024, 4
 #: Estimated similarity from which two classes are candidates: four standard deviations below the threshold.
-NEAR = THRESHOLD - 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / SHORT)
+NEAR = THRESHOLD - 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / TOKENS)
 #: Classes and shingles in a block of the verification.
 BLOCK_CLASSES, BLOCK_SHINGLES = 512, 1 << 21
 NO_ID = -(2**63)
@@ -100,17 +100,21 @@ def set_key(s: np.ndarray) -> int:
 
 
 def minhashes(sets: list[np.ndarray]) -> np.ndarray:
-    """16 bits of each of the minhash values of sets that aren't empty."""
+    """The minhash values of sets that aren't empty, mixed."""
     sizes = np.array([len(s) for s in sets])
     starts, every = np.cumsum(sizes) - sizes, np.concatenate(sets)
     out = np.empty((len(sets), TOKENS), np.uint64)
     for i, factor in enumerate(_FACTORS):
         out[:, i] = np.minimum.reduceat(every * factor, starts)
-    return (_mix(out) >> np.uint64(48)).astype(np.uint16)
+    return _mix(out)
 
 
-def sketches(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """doc_id, key (null without shingles), n (shingles), sig (the minhash values as bytes)."""
+def sketches(docs: DataFrame, text: str, doc_id: str, runs: int) -> DataFrame:
+    """doc_id, key (null without shingles), n (shingles), sig (16 bits of each minhash value), nodes (the first buckets).
+
+    The first buckets are named by whole minhash values: with 16 bits of them, unlike sets would share buckets by chance,
+    and ever more often as the corpus grows. Inside a bucket 16 bits are enough.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,38 +122,42 @@ def sketches(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
             for a, b in slices(texts):
                 sets = shingle_sets(texts.slice(a, b - a))
                 full = [s for s in sets if len(s)]
-                sig = iter(minhashes(full)) if full else iter(())
+                values = minhashes(full) if full else np.zeros((0, TOKENS), np.uint64)
+                sig, nodes = iter((values >> np.uint64(48)).astype(np.uint16)), iter(first_buckets(values, runs))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary())],
-                    ["doc_id", "key", "n", "sig"],
+                    [
+                        batch.column(0).slice(a, b - a),
+                        pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary()),
+                        pa.array([next(nodes) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                    ],
+                    ["doc_id", "key", "n", "sig", "nodes"],
                 )
 
     ids = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id")
-    return docs.select(ids, F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, key long, n long, sig binary")
+    return docs.select(ids, F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, key long, n long, sig binary, nodes array<long>")
 
 
-def _signatures(column: pa.Array, tokens: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)[:, :tokens]
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
 
 
-def _follow(keys: np.ndarray, sig: np.ndarray, above: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Children of buckets ``above``: for each class the sampled tokens' buckets and its key."""
-    h = _mix((sig.astype(np.uint64) + (np.arange(TOKENS, dtype=np.uint64) << np.uint64(16))) * _M2 ^ above[:, None])
+def _follow(tokens: np.ndarray, above: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sampled tokens' buckets below ``above``, and the row of each; tokens are 64-bit values, one column each."""
+    h = _mix((tokens ^ (np.arange(TOKENS, dtype=np.uint64) << np.uint64(56))) * _M2 ^ above[:, None])
     row, col = np.nonzero(h < np.uint64(int(_CHANCE * 2**64)))
-    return _mix(h[row, col] + _M1).view(np.int64), keys[row]
+    return _mix(h[row, col] + _M1).view(np.int64), row
 
 
-def first_buckets(classes: DataFrame, runs: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 2048):
-                part = batch.slice(a, 2048)
-                keys, sig = part.column(0).to_numpy(), _signatures(part.column(1), TOKENS)
-                for r in range(runs):
-                    node, key = _follow(keys, sig, np.full(len(keys), r + 1, np.uint64))
-                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(key)], ["node", "key"])
-
-    return classes.select("key", "sig").mapInArrow(run, "node long, key long")
+def first_buckets(values: np.ndarray, runs: int) -> list[np.ndarray]:
+    """For each set the buckets that it enters in any of the runs."""
+    found = [_follow(values, np.full(len(values), r + 1, np.uint64)) for r in range(runs)]
+    row = np.concatenate([r for _, r in found]) if found else np.array([], np.int64)
+    order = np.argsort(row, kind="stable")
+    node = np.concatenate([n for n, _ in found])[order] if found else np.array([], np.int64)
+    ends = np.searchsorted(row[order], np.arange(len(values) + 1))
+    return [node[ends[k] : ends[k + 1]] for k in range(len(values))]
 
 
 def split_buckets(members: DataFrame) -> DataFrame:
@@ -159,8 +167,8 @@ def split_buckets(members: DataFrame) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
                 part = batch.slice(a, 2048)
-                node, key = _follow(part.column(0).to_numpy(), _signatures(part.column(1), TOKENS), part.column(2).to_numpy().view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(key)], ["node", "key"])
+                node, row = _follow(_signatures(part.column(1)).astype(np.uint64), part.column(2).to_numpy().view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(part.column(0).to_numpy()[row])], ["node", "key"])
 
     return members.select("key", "sig", "node").mapInArrow(run, "node long, key long")
 
@@ -205,7 +213,7 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def brute_force(members: DataFrame) -> DataFrame:
-    """members: node, key, sig (short), dealt by node -> links a, b of a forest over what is near within each bucket."""
+    """members: node, key, sig, dealt by node -> links a, b of a forest over what is near within each bucket."""
 
     def near(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, out_a, out_b = len(sig), [], []
@@ -221,7 +229,7 @@ def brute_force(members: DataFrame) -> DataFrame:
             if group.num_rows < 2:
                 continue
             keys = group.column("key").to_numpy()
-            sig = _signatures(group.column("sig").combine_chunks(), SHORT)
+            sig = _signatures(group.column("sig").combine_chunks())
             if len(keys) == 2:
                 if (sig[0] == sig[1]).mean() >= NEAR:
                     found.add((int(keys[0]), int(keys[1])))
@@ -236,16 +244,22 @@ def brute_force(members: DataFrame) -> DataFrame:
     return members.mapInArrow(run, "a long, b long")
 
 
-def candidate_links(classes: DataFrame, total: int, recall: float = RECALL) -> DataFrame:
+def _shared(level: DataFrame, total: int) -> DataFrame:
+    """node, key, size of the buckets with several classes. Their names are sent to every task if they fit."""
+    sizes = cut(level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    if fits_broadcast(sizes.count(), 32):
+        return level.join(F.broadcast(sizes), "node")
+    return join_groups(level, sizes, "node", "size", total).where("size > 1")
+
+
+def candidate_links(classes: DataFrame, total: int) -> DataFrame:
     """Links a, b whose components hold every pair of similar classes, up to the recall."""
-    short = classes.select("key", F.substring("sig", 1, 2 * SHORT).alias("sig"))
-    level = first_buckets(classes, runs_for(recall))
+    level = classes.select(F.explode("nodes").alias("node"), "key")
     links = None
     for depth in range(1, DEPTH + 1):
-        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        level = cut(join_groups(level, sizes, "node", "size", total).where("size > 1"))
+        level = cut(_shared(level, total))
         small = level.where(F.col("size") <= BUCKET).select("node", "key")
-        dealt = small.join(short, "key").select("node", "key", "sig").repartition(F.col("node")).sortWithinPartitions("node")
+        dealt = small.join(classes.select("key", "sig"), "key").select("node", "key", "sig").repartition(F.col("node")).sortWithinPartitions("node")
         found = brute_force(dealt)
         large = level.where(F.col("size") > BUCKET).select("node", "key", "size")
         if large.isEmpty():
@@ -334,10 +348,10 @@ def join_near(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", recal
     with similarity of at least the threshold; copies is the number of documents with the same shingles.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    drawn = cut(sketches(docs, text, doc_id))
+    drawn = cut(sketches(docs, text, doc_id, runs_for(recall)))
     total = drawn.count()
-    classes = cut(drawn.where(F.col("key").isNotNull()).groupBy("key").agg(F.first("sig").alias("sig"), F.first("n").alias("n"), F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("first_id")))
-    groups = components(candidate_links(classes, total, recall)).select(F.col("node").alias("key"), F.col("label").alias("comp"))
+    classes = cut(drawn.where(F.col("key").isNotNull()).groupBy("key").agg(F.first("sig").alias("sig"), F.first("nodes").alias("nodes"), F.first("n").alias("n"), F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("first_id")))
+    groups = components(candidate_links(classes, total)).select(F.col("node").alias("key"), F.col("label").alias("comp"))
     decided = cut(verify(docs, classes, groups, text, doc_id))
     links = decided.groupBy("key").agg(F.sum("links").alias("links"))
     whole = decided.where("parts = 1").select("key", "label")
