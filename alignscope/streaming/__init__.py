@@ -1 +1 @@
-"""Part of the library."""
+"""Incremental forms of operators."""
