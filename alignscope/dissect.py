@@ -1,0 +1,83 @@
+"""The whole analysis of one bank of units, stage by stage, and the unification of labelled sources."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .catalog import Experiment
+from .functions.hashing import hashed_unit
+from .model import TALLY_DEPTH, TOP_SHARE, quantile_code
+from .operators import labels as lb
+from .operators import quantiles, score, tally
+
+STAGES = ("quantiles", "imgmax", "tally", "result")
+
+
+def dissect(
+    store: Experiment,
+    blob: str,
+    activations: DataFrame,
+    image_labels: DataFrame,
+    pixel_labels: DataFrame,
+    categories: DataFrame,
+    pixels: int,
+    share: float = TOP_SHARE,
+    depth: int | None = TALLY_DEPTH,
+    force: bool = False,
+    end_after: str | None = None,
+) -> DataFrame:
+    """unit, category, label, truth, activation, intersect, iou: the best label of each unit and category.
+
+    ``activations`` are on the labels' grid. ``categories``: label, category. Each stage is stored and taken from the
+    store when it is there. A stage named by ``end_after`` is the last one.
+    """
+    limits = store.stage(blob, "quantiles-" + quantile_code(share), lambda: quantiles.thresholds(activations, share=share), force)
+    if end_after == "quantiles":
+        return limits
+    maxima = store.stage(blob, "imgmax", lambda: quantiles.image_maxima(activations), force)
+    if end_after == "imgmax":
+        return maxima
+
+    def tallied() -> DataFrame:
+        some = activations.join(quantiles.candidate_units(maxima, limits), ["image", "unit"], "left_semi")
+        masks = quantiles.masks(some, limits)
+        whole = tally.tally_image_labels(masks, image_labels, pixels).withColumn("source_rank", F.lit(0))
+        rows = tally.pixel_row_wins(whole.unionByName(tally.tally(masks, pixel_labels).withColumn("source_rank", F.lit(1))))
+        return tally.truncate(rows, depth, pixels) if depth else rows
+
+    rows = store.stage(blob, "tally-" + quantile_code(share), tallied, force)
+    if end_after == "tally":
+        return rows
+
+    def result() -> DataFrame:
+        both = image_labels.select("image", "label").unionByName(pixel_labels.select("image", "label")).distinct()
+        _, truth, pairs = score.summarise(rows)
+        named = truth.join(F.broadcast(categories), "label")
+        images = both.join(F.broadcast(categories), "label").select("image", "category")
+        return score.best_label(score.score(pairs, score.activation_in(rows, images, "category"), named))
+
+    return store.stage(blob, "result", result, force)
+
+
+def unify(pixels: DataFrame, sizes: DataFrame, names: DataFrame, min_frequency: int = 10, min_coverage: float = 0.5) -> dict[str, DataFrame]:
+    """Labels of several sources as one vocabulary.
+
+    pixels: image, dataset, category, label; sizes: image, pixels; names: dataset, category, label, names array<string>.
+    Returns statistics per source label, the numbered vocabulary, the mapping of source labels to numbers, the dense
+    codes of each category, and the images with a reproducible split.
+    """
+    stats = lb.label_statistics(pixels, sizes)
+    key = F.concat_ws("\t", "dataset", "category", "label")
+    known = stats.join(names, ["dataset", "category", "label"]).select(key.alias("key"), "names", "frequency", "coverage")
+    # some thousand labels at most: the fold over them depends on its order and runs on the driver
+    called = lb.resolve_names([(r["key"], r["names"], r["frequency"], r["coverage"]) for r in known.collect()])
+    spark = pixels.sparkSession
+    name_of = spark.createDataFrame(sorted(called.items()), "key string, name string")
+    named = stats.withColumn("key", key).join(F.broadcast(name_of), "key")
+    total = named.groupBy("name").agg(F.sum("frequency").alias("frequency"), F.sum("coverage").alias("coverage"))
+    vocabulary = lb.number_labels(lb.frequent(total, min_frequency, min_coverage), "name")
+    mapping = lb.remap(named.select("dataset", "category", "label", "name"), vocabulary.select("name", "number"), ["name"])
+    per = named.groupBy("category", "name").agg(F.sum("frequency").alias("frequency"), F.sum("coverage").alias("coverage")).join(F.broadcast(vocabulary.select("name", "number")), "name")
+    splits = sizes.select("image", lb.split_of(hashed_unit(F.col("image").cast("string")), [("train", 0.7), ("val", 0.3)]).alias("split"))
+    return {"statistics": stats, "vocabulary": vocabulary, "mapping": mapping, "codes": lb.dense_codes(per, "name"), "images": splits}

@@ -1 +1,319 @@
-"""Queries."""
+"""Queries that write with a sink and read back with a source."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..catalog import Experiment
+from ..dissect import dissect, unify
+from ..functions.codec import decode_labels, encode_labels
+from ..operators import geometry, quantiles, report, summaries, tally
+from ..sources import model, raw, tables, tensors
+from ..streaming.quantiles import SketchStore
+from . import fixtures as fx
+from .fixtures import sql
+from .registry import query
+from .summary import _HIST, T
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
+    return f"{named}/alignscope-{uuid.uuid4().hex}/{name}"
+
+
+@query("src_csv", "select n_nationkey, n_name, n_regionkey from nation")
+def src_csv(spark, d):
+    path = scratch(spark, "nation.csv")
+    tables.write_csv(fx.table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), path)
+    return tables.read_csv(spark, path, "n_nationkey int, n_name string, n_regionkey int")
+
+
+@query("snk_csv", "select c_custkey, c_name, c_acctbal, c_mktsegment from customer")
+def snk_csv(spark, d):
+    path = scratch(spark, "customer.csv")
+    columns = ["c_custkey", "c_name", "c_acctbal", "c_mktsegment"]
+    tables.write_csv(fx.table(spark, d, "customer").select(*columns), path, small=False)
+    return tables.read_csv(spark, path, "c_custkey long, c_name string, c_acctbal double, c_mktsegment string")
+
+
+@query("src_csv_typed", "select s_suppkey, s_name, abs(s_acctbal) as balance from supplier")
+def src_csv_typed(spark, d):
+    path = scratch(spark, "supplier.csv")
+    tables.write_csv(fx.table(spark, d, "supplier").select("s_suppkey", "s_name", F.abs("s_acctbal").alias("balance")), path)
+    return tables.read_csv_typed(spark, path)
+
+
+@query("src_json", "select r_regionkey, r_name from region")
+def src_json(spark, d):
+    path = scratch(spark, "region.json")
+    fx.table(spark, d, "region").write.json(path)
+    return spark.read.schema("r_regionkey int, r_name string").json(path)
+
+
+@query("snk_json", "select count(*) as n, cast(sum(length(props)) as bigint) as chars from events")
+def snk_json(spark, d):
+    path = scratch(spark, "events.json")
+    fx.table(spark, d, "events").select("event_id", "props").write.json(path)
+    back = spark.read.schema("event_id long, props string").json(path)
+    return back.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("props")).cast("long").alias("chars"))
+
+
+@query("src_info", "select r_name as key, cast(r_regionkey as varchar) as value from region")
+def src_info(spark, d):
+    path = scratch(spark, "info.txt")
+    fx.table(spark, d, "region").select(F.concat_ws(": ", "r_name", "r_regionkey").alias("value")).write.text(path)
+    return tables.read_info(spark, path)
+
+
+@query("snk_mmap", sql("act", "select cast(image as bigint) as image, unit, y, x, value from act"))
+def snk_mmap(spark, d):
+    """Packed, written as Parquet, read and unpacked: the same rows."""
+    path = scratch(spark, "packed")
+    tensors.pack(fx.activations(spark, d)).write.parquet(path)
+    return tensors.explode_packed(spark.read.parquet(path), "image", "values", fx.UNITS, fx.WIDTH)
+
+
+@query("snk_mat", sql("act", "select unit, min(value) as min_value, max(value) as max_value from act group by unit"))
+def snk_mat(spark, d):
+    store = Experiment(spark, scratch(spark, "store"))
+    return store.stage("conv5", "minmax", lambda: quantiles.extremes(fx.activations(spark, d)))
+
+
+@query("src_glob_latest", "select * from (values ('iter_20.caffemodel', 'quant-01.mmap')) t(latest, latest_decimal)")
+def src_glob_latest(spark, d):
+    names = ["iter_3.caffemodel", "iter_20.caffemodel", "iter_9.caffemodel"]
+    return spark.createDataFrame([(tensors.latest(names), tensors.latest(["quant-005.mmap", "quant-01.mmap", "quant-0025.mmap"], decimal=True))], "latest string, latest_decimal string")
+
+
+def _unified(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """The nations as a small unified dataset: images are nations, one category of labels and one of files."""
+    folder = scratch(spark, "unified")
+    n = fx.table(spark, d, "nation")
+    base = n.select(F.concat(F.lit("n"), F.col("n_nationkey"), F.lit(".jpg")).alias("image"), F.when(F.col("n_nationkey") % 3 == 0, "val").otherwise("train").alias("split"), *[F.lit(100).alias(c) for c in ("ih", "iw", "sh", "sw")], "n_nationkey", "n_regionkey")
+    scene = base.select(*tables.INDEX, F.lit("scene").alias("category"), F.lit(0).alias("ord"), (F.col("n_regionkey") + 1).alias("label"), F.lit(None).cast("string").alias("file"))
+    object_ = base.where("n_nationkey % 2 = 0").select(*tables.INDEX, F.lit("object").alias("category"), F.lit(0).alias("ord"), F.lit(None).cast("int").alias("label"), F.concat(F.lit("n"), F.col("n_nationkey"), F.lit("_object.png")).alias("file"))
+    index = scene.unionByName(object_)
+    region = fx.table(spark, d, "region").select((F.col("r_regionkey") + 1).alias("number"), F.lower("r_name").alias("name"))
+    label = region.select("number", "name", F.lit("scene(5)").alias("category"), F.lit(5).cast("long").alias("frequency"), F.lit(5.0).alias("coverage"), F.lit("").alias("syns"))
+    category = spark.createDataFrame([("scene", 1, 5, 5, 25), ("object", 6, 6, 1, 13)], "name string, first int, last int, count int, frequency long")
+    codes = region.select(F.lit("scene").alias("category"), F.col("number").cast("int").alias("code"), "number", "name", F.lit(5).cast("long").alias("frequency"), F.lit(5.0).alias("coverage"))
+    tables.write_unified(index, category, label, codes, folder)
+    return folder, index
+
+
+@query("src_index", "select 'n' || n_nationkey || '.jpg' as image, category, label, file from (select n_nationkey, 'scene' as category, n_regionkey + 1 as label, cast(null as varchar) as file from nation union all select n_nationkey, 'object', null, 'n' || n_nationkey || '_object.png' from nation where n_nationkey % 2 = 0)")
+def src_index(spark, d):
+    folder, _ = _unified(spark, d)
+    return tables.read_unified(spark, folder)["index"].select("image", "category", "label", "file")
+
+
+@query("snk_index", "select cast(r_regionkey + 1 as int) as code, cast(r_regionkey + 1 as int) as number, lower(r_name) as name, cast(5 as bigint) as frequency, cast(5.0 as double) as coverage from region")
+def snk_index(spark, d):
+    folder, _ = _unified(spark, d)
+    return tables.read_codes(spark, folder, "scene")
+
+
+@query("snk_label_png", sql("pl", "select cast(image as bigint) as image, y, x, label from pl"))
+def snk_label_png(spark, d):
+    """Label maps as pictures and back: each image's map is one PNG file in a binary column."""
+    cell = F.struct("y", "x", "label")
+    maps = fx.pixel_labels(spark, d).groupBy("image").agg(F.collect_list(cell).alias("cells"))
+
+    def write(frames):
+        import numpy as np
+        import pandas as pd
+
+        for f in frames:
+            out = []
+            for cells in f["cells"]:
+                grid = np.zeros((fx.WIDTH, fx.WIDTH), np.int64)
+                for c in cells:
+                    grid[c["y"], c["x"]] = c["label"]
+                out.append(encode_labels(grid))
+            yield pd.DataFrame({"image": f["image"], "png": out})
+
+    def read(frames):
+        import numpy as np
+        import pandas as pd
+
+        for f in frames:
+            for image, png in zip(f["image"], f["png"], strict=True):
+                grid = decode_labels(png)
+                y, x = np.nonzero(grid)
+                yield pd.DataFrame({"image": image, "y": y.astype(np.int32), "x": x.astype(np.int32), "label": grid[y, x].astype(np.int32)})
+
+    return maps.mapInPandas(write, "image long, png binary").mapInPandas(read, "image long, y int, x int, label int")
+
+
+@query("src_dtd", "select 'p' || p_partkey || '.jpg' as image, cast(label as int) as label from (select p_partkey, unnest(string_split(p_name, ' ')) as w from part) join (select w, row_number() over (order by w) as label from (select distinct unnest(string_split(p_name, ' ')) as w from part)) using (w)")
+def src_dtd(spark, d):
+    """An attribute list made of part names."""
+    path = scratch(spark, "labels.txt")
+    fx.table(spark, d, "part").select(F.concat_ws(" ", F.concat(F.lit("p"), F.col("p_partkey"), F.lit(".jpg")), "p_name").alias("value")).write.text(path)
+    return raw.Textures(path).image_labels(spark).select("image", "label")
+
+
+@query("src_model", sql("act", "select cast(image as bigint) as image, unit, y, x, round(greatest(2 * value + 0.1, 0), 6) as value from act"))
+def src_model(spark, d):
+    """A one-layer network over the packed vectors."""
+
+    def load():
+        import numpy as np
+
+        return lambda v: np.maximum(2 * v + 0.1, 0)
+
+    rows = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("image"), F.transform("embedding", lambda x: x.cast("double")).alias("values"))
+    return model.activations(rows, load, shape=(fx.UNITS, fx.WIDTH, fx.WIDTH)).withColumn("value", F.round("value", 6))
+
+
+@query("src_mean", sql("act", "select unit as channel, round(avg(value), 6) as mean from act group by unit"))
+def src_mean(spark, d):
+    return model.channel_means(fx.activations(spark, d).withColumnRenamed("unit", "channel")).withColumn("mean", F.round("mean", 6))
+
+
+@query("snk_html", sql("res", f"select cast(sum(units) as bigint) as detectors, count(*) as concepts from ({_HIST})"))
+def snk_html(spark, d):
+    """The numbers of a report's headline, read back from the page."""
+    import re
+
+    rows = fx.results(spark, d)
+    html = report.page("events", summaries.report_order(rows, T), summaries.label_histogram(rows, T))
+    units, concepts = re.search(r"<p>(\d+)/\d+ units cover (\d+) concepts", html).groups()
+    return spark.createDataFrame([(int(units), int(concepts))], "detectors long, concepts long")
+
+
+@query("snk_svg", sql("res", f"select count(*) as bars from ({_HIST})"))
+def snk_svg(spark, d):
+    svg = report.histogram_svg(summaries.label_histogram(fx.results(spark, d), T))
+    return spark.createDataFrame([(svg.count("<rect "),)], "bars long")
+
+
+@query("src_html", sql("res", "select unit + 1 as unit, label, round(score, 4) as score from res"))
+def src_html(spark, d):
+    """Scores read back from the lines of a stored report (the result table is the better source)."""
+    path = scratch(spark, "report.txt")
+    fx.results(spark, d).select(F.format_string("unit %d: %s (%s) %.9f", F.col("unit") + 1, "label", "category", "score").alias("value")).write.text(path)
+    part = lambda n: F.regexp_extract("value", r"unit (\d+): (\S+) \((\S+)\) ([\d.]+)", n)
+    return spark.read.text(path).select(part(1).cast("long").alias("unit"), part(2).alias("label"), F.round(part(4).cast("double"), 4).alias("score"))
+
+
+@query("snk_readme", "select 2 as n_lines")
+def snk_readme(spark, d):
+    path = scratch(spark, "readme.txt")
+    spark.createDataFrame([(report.readme({"source": "driver tables", "units": fx.UNITS}),)], "value string").write.text(path)
+    return spark.read.text(path).where("value <> ''").agg(F.count(F.lit(1)).cast("int").alias("n_lines"))
+
+
+@query("snk_syns", "select p_name || ': ' || string_agg(p_brand, '; ' order by p_brand) as value from (select distinct p_name, p_brand from part) group by p_name having count(*) > 1")
+def snk_syns(spark, d):
+    path = scratch(spark, "syns.txt")
+    report.alias_lines(fx.table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("label"))).write.text(path)
+    return spark.read.text(path)
+
+
+@query("snk_png_graph", sql("res", "select network, cast(round(1000 * good / units) as int) as permille from (select network, sum(cast(score >= 0.05 as int)) as good, count(*) as units from res group by network)"))
+def snk_png_graph(spark, d):
+    """The points of a line graph: detectors of each network in thousandths."""
+    total = summaries.fractions(fx.results(spark, d), T).where(F.col("category").isNull())
+    return total.select("network", F.round(F.col("fraction") * 1000).cast("int").alias("permille"))
+
+
+@query("pipeline_dissect")
+def pipeline_dissect(spark, d):
+    """All stages with a store: quantiles, maxima, tally, result."""
+    store = Experiment(spark, scratch(spark, "experiment"))
+    images, pixels = fx.image_labels(spark, d), fx.pixel_labels(spark, d)
+    categories = images.select("label", "category").distinct().unionByName(pixels.select("label", F.lit("pixel").alias("category")).distinct())
+    return dissect(store, "embeddings", fx.activations(spark, d), images, pixels, categories, fx.PIXELS, share=0.1)
+
+
+@query("pipeline_unify")
+def pipeline_unify(spark, d):
+    """Words of documents as labels of five sources, unified by name."""
+    words = fx.tokens(spark, d).withColumn("dataset", F.concat(F.lit("set"), F.col("image") % 5))
+    names = words.select("dataset", "category", "label").distinct().withColumn("names", F.array("label"))
+    frequent = words.groupBy("label").agg(F.countDistinct("image").alias("n")).where("n >= 40").select("label")
+    some = words.join(F.broadcast(frequent), "label")
+    sizes = words.groupBy("image").agg(F.count(F.lit(1)).alias("pixels"))
+    return unify(some, sizes, names.join(F.broadcast(frequent), "label"))["vocabulary"].select("number", "name", "frequency", F.round("coverage", 6).alias("coverage"))
+
+
+@query("streaming_quantiles")
+def streaming_quantiles(spark, d):
+    """Thresholds from the merged sketches of micro-batches of events."""
+    values = fx.table(spark, d, "events").select("event_type", F.col("value").cast("double").alias("value"))
+    source, store = scratch(spark, "stream"), SketchStore(scratch(spark, "sketches"), "event_type", k=4096)
+    values.repartition(3).write.parquet(source)
+    stream = spark.readStream.schema(values.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    store.follow(stream, scratch(spark, "offsets")).awaitTermination()
+    return store.thresholds(spark, 0.1)
+
+
+@query("ten_upsample_cubic")
+def ten_upsample_cubic(spark, d):
+    return _upsampled(spark, d, lambda m: geometry.upsample_cubic(m, 16, 2, 4))
+
+
+@query("ten_upsample_gauss")
+def ten_upsample_gauss(spark, d):
+    return _upsampled(spark, d, lambda m: geometry.upsample_gauss(m, 4, 2, 16))
+
+
+def _upsampled(spark, d, work):
+    """Per image and unit the largest and the mean value after upsampling with a numpy kernel in Arrow batches."""
+    packed = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("image"), "embedding")
+
+    def run(frames):
+        import numpy as np
+        import pandas as pd
+
+        for f in frames:
+            maps = np.stack(f["embedding"].to_list()).reshape(-1, fx.WIDTH, fx.WIDTH).astype(float)
+            out = work(maps)
+            yield pd.DataFrame({"image": np.repeat(f["image"].to_numpy(), fx.UNITS), "unit": np.tile(np.arange(fx.UNITS, dtype=np.int32), len(f)), "highest": out.max((1, 2)), "average": out.mean((1, 2))})
+
+    return packed.mapInPandas(run, "image long, unit int, highest double, average double")
+
+
+@query("ten_mask_blur")
+def ten_mask_blur(spark, d):
+    """Masks blurred by half a pixel and cut at half of their largest value: masked pixels per unit."""
+    from ..operators.geometry import blur
+
+    cells = fx.wide_masks(spark, d).groupBy("image", "unit").agg(F.collect_list(F.struct("y", "x")).alias("cells"))
+
+    def run(frames):
+        import numpy as np
+        import pandas as pd
+
+        for f in frames:
+            maps = np.zeros((len(f), fx.WIDTH, fx.WIDTH))
+            for i, cs in enumerate(f["cells"]):
+                for c in cs:
+                    maps[i, c["y"], c["x"]] = 1
+            soft = blur(maps, 0.5)
+            yield pd.DataFrame({"image": f["image"], "unit": f["unit"], "n": (soft >= 0.5 * soft.max((1, 2), keepdims=True)).sum((1, 2))})
+
+    return cells.mapInPandas(run, "image long, unit int, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+
+
+@query("ten_normalize_label", sql("img pl", "select cast(image as bigint) as image, layer, count(*) as pixels from (select img.image as image, 0 as layer from img, range(16) union all select image, 1 from pl) group by all"))
+def ten_normalize_label(spark, d):
+    """Labels of whole images and of pixels in one shape: layers of pixel rows."""
+    whole = fx.image_labels(spark, d).select("image", F.lit(0).alias("layer"), F.explode(F.sequence(F.lit(0), F.lit(fx.PIXELS - 1))).alias("p"))
+    return whole.select("image", "layer").unionByName(fx.pixel_labels(spark, d).select("image", F.lit(1).alias("layer"))).groupBy("image", "layer").agg(F.count(F.lit(1)).alias("pixels"))
+
+
+@query("golden_tally")
+def golden_tally(spark, d):
+    """Eight discs against six half planes on a 10 x 10 grid, cut to 36 rows."""
+    grid = spark.range(100).select((F.col("id") / 10).cast("int").alias("y"), (F.col("id") % 10).cast("int").alias("x"), F.lit(0).cast("long").alias("image"))
+    each = lambda n, name: grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name))
+    discs = each(8, "unit").where("x * x + y * y <= 4 * unit * unit")
+    planes = each(6, "k").where("x > 2 * k").withColumn("label", F.col("k") + 1)
+    rows = tally.tally(discs, planes).withColumn("label", F.when(F.col("label") > 0, F.col("label") - 1).otherwise(F.col("label")))
+    return tally.truncate(rows, 36, pixels=100, both=True).select("unit", "label", "n")
