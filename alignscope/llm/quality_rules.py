@@ -86,10 +86,11 @@ def host_verdicts(failures: DataFrame) -> DataFrame:
     """
     hosts = failures.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("bad"))
     total = hosts.agg(F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"), F.sum(F.col("bad") * F.col("bad") / F.col("n")).alias("squares"))
-    mean = F.col("all_bad") / F.col("all_n")
-    prior = total.select(mean.alias("mean"), F.greatest(F.col("squares") / F.col("all_n") - mean * mean, F.lit(1e-9)).alias("variance"))
-    strength = F.greatest(F.lit(1.0), F.least(F.lit(1000.0), F.col("mean") * (1 - F.col("mean")) / F.col("variance") - 1))
-    rates = hosts.crossJoin(F.broadcast(prior)).withColumn("strength", strength)
+    sums = total.first()  # three numbers
+    mean = (sums["all_bad"] or 0) / (sums["all_n"] or 1)
+    variance = max((sums["squares"] or 0.0) / (sums["all_n"] or 1) - mean * mean, 1e-9)
+    strength = max(1.0, min(1000.0, mean * (1 - mean) / variance - 1))
+    rates = hosts.withColumns({"mean": F.lit(mean), "strength": F.lit(strength)})
     rates = rates.withColumn("rate", (F.col("bad") + F.col("mean") * F.col("strength")) / (F.col("n") + F.col("strength")))
     return rates.select("host", "n", "rate", F.when(F.col("rate") >= REJECTED, 2).when(F.col("rate") >= DOUBTFUL, 1).otherwise(0).alias("verdict"))
 

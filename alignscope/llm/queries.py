@@ -34,7 +34,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    return quality_rules.judge(table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 9))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,5 +78,41 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_html_extract, op3_packing, op4_license_scan, op5_quality_rules, op6_jaccard_join, op7_quality_classifier, op8_language_id, op9_byte_bpe, op10_chat_format)}
 
+_COPIES = r"""
+with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents),
+g as (select t, min(doc_id) as keep_id, count(*) as group_size from d group by t)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(d.t) as text_sha256 from d join g on d.t = g.t
+"""
+
+_RULES = r"""
+with d as (select row_number() over () as rid, doc_id, coalesce(source, chr(0)) as host, coalesce(text, '') as t from documents),
+s as (select rid, doc_id, host, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w, len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols,
+      list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
+x as (select rid, i, w[i] as a, w[i + 1] as b, w[i + 2] as c from (select rid, w, unnest(range(1, len(w) - 1)) as i from s where len(w) > 2)),
+r as (select rid, count(distinct p) as n_repeat_words from (select rid, unnest([i, i + 1, i + 2]) as p from (select *, count(*) over (partition by rid, a, b, c) as n from x) where n > 1) group by rid),
+f as (select s.rid, doc_id, host, len(w) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars, n_symbols,
+      len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words from s left join r on s.rid = r.rid),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, n_symbols > 0.5 * n_words or n_dup_lines > 0.5 * n_lines as soft_failed from f),
+h as (select host, count(*) as n, cast(sum(cast(base_failed or soft_failed as int)) as bigint) as bad from b group by host),
+m as (select cast(sum(bad) as double) / cast(sum(n) as double) as mean, greatest(sum(cast(bad as double) * bad / n) / cast(sum(n) as double) - (cast(sum(bad) as double) / cast(sum(n) as double)) ** 2, 1e-9) as variance from h),
+k as (select mean, greatest(1.0, least(1000.0, mean * (1 - mean) / variance - 1)) as strength from m),
+v as (select host, (bad + mean * strength) / (n + strength) as rate from h, k)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and rate < 0.6 and not (soft_failed and rate >= 0.05) as kept, round(rate, 9) as host_rate
+from b join v on b.host = v.host
+"""
+
+_CHATS = r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as t from conversations
+      union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+l as (select *, lag(role) over (partition by conv_id order by turn, role, t) is not distinct from role as merged,
+      length(t) + len(regexp_extract_all(t, '\\')) + len(regexp_extract_all(t, '[<\[](?:\|[A-Za-z0-9_]+\|>|/?s>|/?INST\]|</?SYS>>|/?bos>|/?eos>|start_of_turn>|end_of_turn>)')) as escaped from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' order by turn, role, t)) as turns_sha256,
+       cast(coalesce(sum(length(t)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(t, '' order by turn, role, t) filter (role = 'assistant'), '')) as loss_sha256,
+       cast(sum(escaped + case when merged then 11 else 12 + length(role) + 1 + 11 end) as bigint) as formatted_chars
+from l group by conv_id
+"""
+
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": _COPIES, "op5_quality_rules": _RULES, "op10_chat_format": _CHATS}
