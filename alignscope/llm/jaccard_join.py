@@ -6,10 +6,11 @@
 2. Each run splits the classes on tokens that a hash samples: a class follows ``REACH / (THRESHOLD * TOKENS)`` of its
    tokens, each into the bucket named by run and token, so two classes at the threshold share ``REACH`` buckets on
    average. Buckets of over ``BUCKET`` classes are split again on further sampled tokens; those that are still larger
-   after ``DEPTH`` splits hold sets that are alike, and all of their classes become candidates together. The number of
+   at level ``DEPTH`` are dealt out in chunks, and all pairs of chunks are compared, so none is cut off. The number of
    runs follows from the target recall by the extinction chance of such a branching process.
-3. Small buckets are compared by brute force on minhash values, with a margin of four standard deviations. What is
-   linked so is joined to candidate groups (connected components, found without collecting them).
+3. Small buckets are compared by brute force on minhash values, with a margin of four standard deviations; classes that
+   are known to belong together aren't compared again, so a bucket of near copies costs little more than one pass. What
+   is linked so is joined to candidate groups (connected components, found without collecting them).
 4. Every candidate group is verified exactly: its classes' whole shingle sets meet once, in blocks of bounded size, and
    all pairs of the group are decided by their true Jaccard similarity. Blocks return one row a class (how many
    documents it is linked to, and a label of its part), never pairs.
@@ -39,7 +40,7 @@ from .components import components
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5
 THRESHOLD = NUMERATOR / DENOMINATOR
 TOKENS, REACH, RECALL = 128, 1.6, 0.9999
-BUCKET, DEPTH = 1024, 4
+BUCKET, DEPTH = 4096, 3
 #: Estimated similarity from which two classes are candidates: four standard deviations below the threshold.
 NEAR = THRESHOLD - 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / TOKENS)
 #: Classes and shingles in a block of the verification.
@@ -215,13 +216,19 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def brute_force(members: DataFrame) -> DataFrame:
     """members: node, key, sig, dealt by node -> links a, b of a forest over what is near within each bucket."""
 
-    def near(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, out_a, out_b = len(sig), [], []
-        for i in range(n - 1):
-            same = np.flatnonzero((sig[i + 1 :] == sig[i]).mean(1) >= NEAR)
-            out_a.append(np.full(len(same), i))
-            out_b.append(same + i + 1)
-        return np.concatenate(out_a), np.concatenate(out_b)
+    def parts(sig: np.ndarray) -> np.ndarray:
+        """For each row the number of the first row of its part."""
+        label = np.arange(len(sig))
+        need = NEAR * TOKENS
+        for i in range(len(sig) - 1):
+            other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+            if not len(other):
+                continue
+            met = label[other[np.count_nonzero(sig[other] == sig[i], axis=1) >= need]]
+            if len(met):
+                old = np.unique(np.append(met, label[i]))
+                label[np.isin(label, old)] = old[0]
+        return label
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[int, int]] = set()
@@ -231,10 +238,10 @@ def brute_force(members: DataFrame) -> DataFrame:
             keys = group.column("key").to_numpy()
             sig = _signatures(group.column("sig").combine_chunks())
             if len(keys) == 2:
-                if (sig[0] == sig[1]).mean() >= NEAR:
+                if np.count_nonzero(sig[0] == sig[1]) >= NEAR * TOKENS:
                     found.add((int(keys[0]), int(keys[1])))
             else:
-                label = _labels(len(keys), *near(sig))
+                label = parts(sig)
                 found.update((int(keys[i]), int(keys[label[i]])) for i in np.flatnonzero(label != np.arange(len(keys))))
             if len(found) >= 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
@@ -259,16 +266,21 @@ def candidate_links(classes: DataFrame, total: int) -> DataFrame:
     for depth in range(1, DEPTH + 1):
         level = cut(_shared(level, total))
         small = level.where(F.col("size") <= BUCKET).select("node", "key")
+        large = level.where(F.col("size") > BUCKET).select("node", "key", "size")
+        more = not large.isEmpty()
+        if more and depth == DEPTH:
+            # chunks of half a bucket; each class goes to every pair of chunks that its own is part of
+            chunks = F.ceil(F.col("size") / (BUCKET / 2)).cast("int")
+            own = large.select("node", "key", chunks.alias("chunks"), F.pmod(F.xxhash64("key", F.lit(5)), chunks).cast("int").alias("own"))
+            each = own.select("node", "key", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+            small = small.unionByName(each.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "key"))
+            more = False
         dealt = small.join(classes.select("key", "sig"), "key").select("node", "key", "sig").repartition(F.col("node")).sortWithinPartitions("node")
         found = brute_force(dealt)
-        large = level.where(F.col("size") > BUCKET).select("node", "key", "size")
-        if large.isEmpty():
-            return found if links is None else links.unionByName(found)
-        links = cut(found if links is None else links.unionByName(found))
-        if depth == DEPTH:
-            tops = large.groupBy("node").agg(F.min("key").alias("b"), F.first("size").alias("size"))
-            stars = join_groups(large.select("node", F.col("key").alias("a")), tops, "node", "size", total).select("a", "b")
-            return links.unionByName(stars)
+        links = found if links is None else links.unionByName(found)
+        if not more:
+            break
+        links = cut(links)
         level = split_buckets(large.select("node", "key").join(classes.select("key", "sig"), "key"))
     return links
 
