@@ -192,13 +192,13 @@ def snk_svg(spark, d):
     return spark.createDataFrame([(svg.count("<rect "),)], "bars long")
 
 
-@query("src_html", sql("res", "select unit + 1 as unit, label, round(score, 4) as score from res"))
+@query("src_html", sql("res", "select unit + 1 as unit, label, score from res"))
 def src_html(spark, d):
     """Scores read back from the lines of a stored report (the result table is the better source)."""
     path = scratch(spark, "report.txt")
     fx.results(spark, d).select(F.format_string("unit %d: %s (%s) %.9f", F.col("unit") + 1, "label", "category", "score").alias("value")).write.text(path)
     part = lambda n: F.regexp_extract("value", r"unit (\d+): (\S+) \((\S+)\) ([\d.]+)", n)
-    return spark.read.text(path).select(part(1).cast("long").alias("unit"), part(2).alias("label"), F.round(part(4).cast("double"), 4).alias("score"))
+    return spark.read.text(path).select(part(1).cast("long").alias("unit"), part(2).alias("label"), part(4).cast("double").alias("score"))
 
 
 @query("snk_readme", "select 2 as n_lines")
