@@ -168,3 +168,27 @@ def bicubic(values: np.ndarray, places: np.ndarray) -> np.ndarray:
 def upsample_cubic(maps: np.ndarray, pixels: int, center: float, step: float) -> np.ndarray:
     places = (np.arange(pixels) - center) / step
     return np.swapaxes(bicubic(np.swapaxes(bicubic(maps, places), 1, 2), places), 1, 2)
+
+
+def scale_image(picture: np.ndarray, height: int, width: int, crop: bool = False) -> np.ndarray:
+    """An [y, x, channel] picture resized by area averages; with ``crop`` the largest centred window of the new shape is taken first."""
+    h, w = picture.shape[:2]
+    if crop:
+        k = min(h / height, w / width)
+        ch, cw = max(1, round(height * k)), max(1, round(width * k))
+        picture = picture[(h - ch) // 2 :, (w - cw) // 2 :][:ch, :cw]
+
+    def shares(old: int, new: int) -> np.ndarray:
+        """How much of each old cell falls into each new one."""
+        edges = np.arange(new + 1) * old / new
+        cells = np.arange(old)
+        return np.clip(np.minimum(edges[1:, None], cells + 1) - np.maximum(edges[:-1, None], cells), 0, None) * new / old
+
+    return np.einsum("ay,yxc,bx->abc", shares(picture.shape[0], height), picture.astype(float), shares(picture.shape[1], width))
+
+
+def tile(pixels: DataFrame, place: str, per_row: int, height: int, width: int, gap: int = 3) -> DataFrame:
+    """Pictures set side by side: each pixel moves to the tile that its picture's place (from 0) stands for."""
+    down = F.floor(F.col(place) / per_row).cast("int") * (height + gap)
+    right = (F.col(place) % per_row).cast("int") * (width + gap)
+    return pixels.withColumns({"y": F.col("y") + down, "x": F.col("x") + right})

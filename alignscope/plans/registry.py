@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None, ints: str = "") -> Callable[[Query]
 
 
 def _load() -> None:
-    from . import alignment, columns, files, filters, space, summary, vocabulary  # noqa: F401
+    from . import alignment, columns, files, filters, sets, space, summary, vocabulary  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -231,3 +231,76 @@ def read_mat(data: bytes) -> dict[str, object]:
             name, value = matrix(body)
             out[name] = value
     return out
+
+
+def image_pixels(spark: SparkSession, path: str) -> DataFrame:
+    """path, y, x, r, g, b of pictures in any format that Spark's image source decodes (its bytes come blue first)."""
+    files = spark.read.format("image").load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for name, h, w, n, data in batch.itertuples(index=False):
+                flat = np.frombuffer(data, np.uint8).reshape(h * w, n).astype(np.int32)
+                y, x = np.divmod(np.arange(h * w), w)
+                at = (2, 1, 0) if n >= 3 else (0, 0, 0)
+                yield pd.DataFrame({"path": name, "y": y.astype(np.int32), "x": x.astype(np.int32), **{c: flat[:, k] for c, k in zip("rgb", at, strict=True)}})
+
+    return files.mapInPandas(run, "path string, y int, x int, r int, g int, b int")
+
+
+def scene_instances(spark: SparkSession, folder: str) -> DataFrame:
+    """path, y, x, label, instance of scene annotations: the blue channel's values, numbered from 1 in each picture."""
+    from pyspark.sql import Window
+
+    pixels = png_pixels(spark, folder).where(F.col("path").rlike(r"_seg\.png$") & (F.col("b") > 0))
+    number = F.dense_rank().over(Window.partitionBy("path").orderBy("b"))
+    return pixels.select("path", "y", "x", class_of(F.col("r"), F.col("g")).alias("label"), number.alias("instance"))
+
+
+def part_maps(objects: list[dict], key: dict[int, dict[str, int]], shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Object and part maps of one picture; objects: class_ind, mask, parts (part_name, mask). Later ones lie on top."""
+    index = lambda o: int(np.ravel(o["class_ind"])[0])
+    whole = paint([(index(o), o["mask"]) for o in objects], shape)
+    inner = [(key.get(index(o), {}).get(str(p["part_name"]), 0), p["mask"]) for o in objects for p in (o["parts"] if isinstance(o["parts"], list) else [])]
+    return whole, paint([(n, m) for n, m in inner if n], shape)
+
+
+class Parts(Source):
+    """Pictures whose MATLAB files list objects and their parts, with a text that numbers the parts."""
+
+    name = "parts"
+
+    def __init__(self, folder: str, part_key: dict[int, dict[str, int]], class_names: dict[int, str]) -> None:
+        self.folder, self.part_key, self.class_names = folder, part_key, class_names
+
+    def images(self, spark):
+        return spark.read.format("binaryFile").option("pathGlobFilter", "*.mat").load(self.folder).select(F.regexp_extract("path", r"([^/]+)\.mat$", 1).alias("image"), F.lit(None).cast("int").alias("height"), F.lit(None).cast("int").alias("width"))
+
+    def names(self, spark):
+        rows = [("object", k, [n]) for k, n in self.class_names.items()]
+        rows += [("part", n, [p]) for parts in self.part_key.values() for p, n in parts.items()]
+        return spark.createDataFrame(rows, "category string, label int, names array<string>")
+
+    def image_labels(self, spark):
+        return spark.createDataFrame([], "image string, category string, label int")
+
+    def pixel_labels(self, spark):
+        key = self.part_key
+
+        def run(batches):
+            import pandas as pd
+
+            for batch in batches:
+                for path, content in zip(batch["path"], batch["content"], strict=True):
+                    anno = read_mat(content)["anno"][0]
+                    objects = anno["objects"]
+                    if not objects:
+                        continue
+                    for category, grid in zip(("object", "part"), part_maps(objects, key, objects[0]["mask"].shape), strict=True):
+                        y, x = np.nonzero(grid)
+                        yield pd.DataFrame({"image": path.rsplit("/", 1)[-1][:-4], "category": category, "layer": 0, "y": y.astype(np.int32), "x": x.astype(np.int32), "label": grid[y, x]})
+
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.mat").load(self.folder).select("path", "content")
+        return files.mapInPandas(run, "image string, category string, layer int, y int, x int, label int")
