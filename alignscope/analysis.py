@@ -14,7 +14,7 @@ from .operators import quantiles, score, tally
 STAGES = ("quantiles", "imgmax", "tally", "result")
 
 
-def dissect(
+def analyse(
     store: Experiment,
     blob: str,
     activations: DataFrame,

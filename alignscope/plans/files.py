@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import Experiment
-from ..dissect import dissect, unify
+from ..analysis import analyse, unify
 from ..functions.codec import decode_labels, encode_labels
 from ..operators import geometry, quantiles, report, summaries, tally
 from ..sources import model, raw, tables, tensors
@@ -222,13 +222,13 @@ def snk_png_graph(spark, d):
     return total.select("network", F.round(F.col("fraction") * 1000).cast("int").alias("permille"))
 
 
-@query("pipeline_dissect")
-def pipeline_dissect(spark, d):
+@query("pipeline_analysis")
+def pipeline_analysis(spark, d):
     """All stages with a store: quantiles, maxima, tally, result."""
     store = Experiment(spark, scratch(spark, "experiment"))
     images, pixels = fx.image_labels(spark, d), fx.pixel_labels(spark, d)
     categories = images.select("label", "category").distinct().unionByName(pixels.select("label", F.lit("pixel").alias("category")).distinct())
-    return dissect(store, "embeddings", fx.activations(spark, d), images, pixels, categories, fx.PIXELS, share=0.1)
+    return analyse(store, "embeddings", fx.activations(spark, d), images, pixels, categories, fx.PIXELS, share=0.1)
 
 
 @query("pipeline_unify")
