@@ -284,18 +284,18 @@ def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: i
             i, c = np.unique(np.concatenate([shape[a:b], gram[a:b]]), return_counts=True)
             d, e = np.searchsorted(word_of, [k, k + 1])
             j, f = np.unique(echo[d:e], return_counts=True)
-            index.append(np.concatenate([i, j + SHAPES + GRAMS]).astype(np.int32))
-            value.append(np.concatenate([c / max(b - a, 1), f / max(e - d, 1)]).astype(np.float32))
-        return pa.RecordBatch.from_arrays([pa.array(p), pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], ["pattern", "i", "v"])
+            index.append(np.concatenate([i, j + SHAPES + GRAMS]).astype(np.int32).tobytes())
+            value.append(np.concatenate([c / max(b - a, 1), f / max(e - d, 1)]).astype(np.float32).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(p), pa.array(index, pa.binary()), pa.array(value, pa.binary())], ["pattern", "i", "v"])
 
     share = min(1.0, sample / counts.sum())
     drawn = docs.where(F.xxhash64(F.col(doc_id).cast("string"), F.lit(11)).bitwiseAND(F.lit(2**62 - 1)) < F.lit(int(share * 2**62)))
-    got = _mapped(drawn, [body], counted, "pattern long, i array<int>, v array<float>").collect()
+    got = _mapped(drawn, [body], counted, "pattern long, i binary, v binary").collect()
     labels = np.array([posterior[r["pattern"]] for r in got])
     empty = posterior.get(int(vote(profile([""], *decode([""])))[0]), prior)
     if not len(labels):
         return Model(np.zeros(SHAPES + GRAMS + ECHOES), float(np.log(prior / (1 - prior))), empty)
-    return Model(*fit([(np.array(r["i"], np.int64), np.array(r["v"])) for r in got], labels), empty)
+    return Model(*fit([(np.frombuffer(r["i"], np.int32), np.frombuffer(r["v"], np.float32)) for r in got], labels), empty)
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
