@@ -1,10 +1,12 @@
 """License scan: TF-IDF cosine of file headers and licence files to templates, and inheritance along directories.
 
-Words are weighted by how rare they are in the whole corpus (document frequencies of the templates' words, counted over
-all files, a table of bounded size). A passage, which is a line or a run of lines that hold licence words, takes the
-licence of the template with the highest cosine if it is at least ``COSINE``. A file that is little more than such a
-passage, or that is named as a licence file, licenses its directory; files without a licence of their own take that of
-the nearest ancestor directory, by joins on paths.
+Words are weighted by how rare they are in the whole corpus: by the share of all files that hold them, for every word, not
+only those of templates. A word in under one of ``FLOOR`` files weighs as if it were in one, so weights and verdicts depend
+on shares and not on the number of files, and the table of frequencies has at most ``FLOOR`` times a file's mean number of
+different words. A passage is a line, a run of lines that hold licence words, or a window in one of them as long as a
+template; it takes the licence of the template with the highest cosine if that is at least ``COSINE``. A file that is
+little more than such a passage, or that is named as a licence file, licenses its directory; files without a licence of
+their own take that of the nearest ancestor directory, by joins on paths.
 
 A line is looked at only if it holds an anchor, a template word such that no line without one can reach the cosine: the
 weights of all other words of every template stay below it. That is a bound, not a heuristic, so no line is lost.
@@ -31,6 +33,10 @@ from .common import cut, join_groups
 COSINE = 0.7
 #: Most words beside the passage in a file that counts as a licence file.
 BESIDE = 12
+#: Words in under one of so many files have the same weight.
+FLOOR = 1000
+#: Different words that a task counts before it hands them on.
+HELD = 1 << 18
 
 #: Usual notices of well-known licences.
 TEMPLATES = (
@@ -67,10 +73,11 @@ class Matcher:
 
     def __init__(self, df: dict[str, int], files: int, templates: tuple = TEMPLATES, cosine: float = COSINE) -> None:
         self.cosine, self.files = cosine, files
-        self.rare = math.log(files + 1) + 1
+        self.rare = math.log(FLOOR) + 1
+        self.idf = {w: math.log(files / n) + 1 for w, n in df.items() if n * FLOOR > files}
         counts = [(name, Counter(words(t))) for name, t in templates]
-        self.idf = {w: math.log((files + 1) / (df.get(w, 0) + 1)) + 1 for _, c in counts for w in c}
         self.vectors = [(name, self._unit(c)) for name, c in counts]
+        self.sizes = [c.total() for _, c in counts]
         # anchors: of each template the heaviest words, until the rest can't reach the cosine
         self.anchors: set[str] = set()
         for _, v in self.vectors:
@@ -94,49 +101,88 @@ class Matcher:
                 found = (score, name)
         return found
 
+    def window(self, line: list[str]) -> tuple[float, str, int]:
+        """The highest cosine of a part of a line that is as long as the template, its licence and its number of words."""
+        known = set(line)
+        found = (0.0, "", 0)
+        for (name, v), size in zip(self.vectors, self.sizes, strict=True):
+            # a bound: no part has more of the template than the line
+            if size >= len(line) or math.sqrt(sum(x * x for w, x in v.items() if w in known)) < self.cosine - 1e-9:
+                continue
+            held: Counter = Counter()
+            dot = square = top = 0.0
+            at = 0
+            for i, w in enumerate(line):
+                x = self.idf.get(w, self.rare)
+                dot += x * v.get(w, 0.0)
+                square += x * x * (2 * held[w] + 1)
+                held[w] += 1
+                if i >= size:
+                    w = line[i - size]
+                    x = self.idf.get(w, self.rare)
+                    dot -= x * v.get(w, 0.0)
+                    held[w] -= 1
+                    square -= x * x * (2 * held[w] + 1)
+                if i >= size - 1 and dot > 0 and dot * dot > (top + 1e-12) * square:
+                    top, at = dot * dot / square, i - size + 1
+            # once more without the rounding of the running sums
+            own = self._unit(Counter(line[at : at + size]))
+            score = sum(x * own[w] for w, x in v.items() if w in own)
+            if score > found[0] + 1e-12:
+                found = (score, name, size)
+        return found
+
+    def passage(self, line: list[str]) -> tuple[float, str, int]:
+        """The highest cosine in a line or a run of lines, its licence, and the number of words: all, if all reach the cosine."""
+        score, name = self.best(Counter(line))
+        part = self.window(line)
+        if part[0] <= score + 1e-12:
+            return score, name, len(line)
+        return part[0], part[1], len(line) if score >= self.cosine and name == part[1] else part[2]
+
     def scan(self, text: str) -> tuple[str | None, float, int]:
         """Licence of a text, its cosine and the number of words of its passage."""
         if not self.find(text.lower()):
             return None, 0.0, 0
         best: tuple[float, str, int] = (0.0, "", 0)
-        run: Counter = Counter()
+        run: list[str] = []
         lines = 0
         for line in [*text.split("\n"), ""]:
             if line and self.find(line.lower()):
-                own = Counter(words(line))
-                score, name = self.best(own)
-                best = max(best, (score, name, own.total()), key=lambda b: b[0])
+                own = words(line)
+                best = max(best, self.passage(own), key=lambda b: (b[0], b[2]))
                 run += own
                 lines += 1
                 continue
             if lines > 1:
-                score, name = self.best(run)
-                best = max(best, (score, name, run.total()), key=lambda b: b[0])
-            run, lines = Counter(), 0
+                best = max(best, self.passage(run), key=lambda b: (b[0], b[2]))
+            run, lines = [], 0
         return (best[1], best[0], best[2]) if best[0] >= self.cosine else (None, best[0], 0)
 
 
-def frequencies(files: DataFrame, text: str, templates: tuple = TEMPLATES) -> tuple[dict[str, int], int]:
-    """In how many of all files each word of the templates occurs, and the number of files."""
-    vocabulary = {w for _, t in templates for w in words(t)}
+def frequencies(files: DataFrame, text: str) -> tuple[dict[str, int], int]:
+    """In how many of all files each word occurs that is in at least one of ``FLOOR``, and the number of files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        n = 0
+
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([*seen], pa.string()), pa.array([*seen.values()], pa.int64())], ["word", "n"])
+
         for batch in batches:
             texts = filled(batch.column(0))
             for a, b in slices(texts):
                 for t in texts.slice(a, b - a).to_pylist():
-                    n += 1
-                    low = t.lower()
-                    plain = vocabulary.intersection(low.split())
-                    # words next to marks or digits need the full pattern, but only where a rest of the vocabulary may occur
-                    seen.update(plain.union(w for w in vocabulary.difference(plain) if w in low and re.search(rf"(?<![a-z]){re.escape(w)}(?![a-z])", low)))
-        yield pa.RecordBatch.from_arrays([pa.array([*seen, ""], pa.string()), pa.array([*seen.values(), n], pa.int64())], ["word", "n"])
+                    seen.update({"", *words(t)})
+                    if len(seen) > HELD:
+                        yield counted()
+                        seen.clear()
+        yield counted()
 
-    got = files.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    df = {r["word"]: r["n"] for r in got}
-    return df, df.pop("", 0)
+    # the empty word stands for the file itself
+    got = cut(files.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    n = (got.where("word = ''").first() or {"n": 0})["n"]
+    return {r["word"]: r["n"] for r in got.where((F.col("word") != "") & (F.col("n") * FLOOR > n)).collect()}, n
 
 
 def _name(path: Column) -> Column:
@@ -150,7 +196,7 @@ def directory(path: Column) -> Column:
 
 def scan(files: DataFrame, text: str = "text", path: str = "path", file_id: str = "doc_id", templates: tuple = TEMPLATES) -> DataFrame:
     """file id, path, license, how (own, inherited or null), cosine, license_dir (of the licence file it is inherited from)."""
-    df, n = frequencies(files, text, templates)
+    df, n = frequencies(files, text)
     shared = files.sparkSession.sparkContext.broadcast(Matcher(df, n, templates))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

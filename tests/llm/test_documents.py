@@ -238,6 +238,36 @@ def test_license_scan(spark, prose):
     assert license_scan.scan(files.limit(0)).count() == 0
 
 
+def test_notices_with_extra_words():
+    """Words around a notice don't hide it, and only shares of files count, not the number of files."""
+    share = {"the": 0.9, "of": 0.8, "is": 0.7, "this": 0.6, "file": 0.3, "under": 0.2, "license": 0.1, "released": 0.05, "mit": 0.04, "version": 0.02}
+    lines = ["Foo is released under the MIT License.", "Copyright 2020 Acme. Released under the MIT License.", "This file is released under the MIT License, see below.", " ".join(["word"] * 300) + " Released under the MIT License. " + " ".join(["more"] * 300)]
+    for line in [*lines, *(f"odd\n{x}\nodd" for x in lines)]:
+        got = [license_scan.Matcher({w: int(s * n) for w, s in share.items()}, n).scan(line) for n in (1000, 10_000, 10_000_000)]
+        assert got[0][0] == "MIT" and got[0][1] > 0.99 and len(set(got)) == 1
+    m = license_scan.Matcher({w: int(s * 1000) for w, s in share.items()}, 1000)
+    assert m.scan("this is the license of the version")[0] is None
+    # windows by brute force
+    from random import Random
+
+    rng = Random(2)
+    pool = [w for _, t in license_scan.TEMPLATES for w in license_scan.words(t)] + ["odd", "word"]
+    for k in range(60):
+        line = [rng.choice(pool) for _ in range(rng.randint(1, 12))] + license_scan.words(license_scan.TEMPLATES[k % 19][1]) + [rng.choice(pool) for _ in range(rng.randint(1, 40))]
+        most = 0.0
+        for (_, v), size in zip(m.vectors, m.sizes, strict=True):
+            for i in range(len(line) - size + 1):
+                own = m._unit(Counter(line[i : i + size]))
+                most = max(most, sum(x * own.get(w, 0.0) for w, x in v.items()))
+        assert abs(m.window(line)[0] - most) < 1e-9
+
+
+def test_frequencies_of_all_words(spark):
+    texts = ["a b. B c2", "b\nd", None, "", "B-b"]
+    df, n = license_scan.frequencies(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), "text")
+    assert (df, n) == ({"a": 1, "b": 3, "c": 1, "2": 1, "d": 1}, 5)
+
+
 def test_anchors_lose_no_line():
     """Brute force: no line without an anchor reaches the cosine."""
     from random import Random
