@@ -70,11 +70,7 @@ def unify(pixels: DataFrame, sizes: DataFrame, names: DataFrame, min_frequency:
     stats = lb.label_statistics(pixels, sizes)
     key = F.concat_ws("\t", "dataset", "category", "label")
     known = stats.join(names, ["dataset", "category", "label"]).select(key.alias("key"), "names", "frequency", "coverage")
-    # some thousand labels at most: the fold over them depends on its order and runs on the driver
-    called = lb.resolve_names([(r["key"], r["names"], r["frequency"], r["coverage"]) for r in known.collect()])
-    spark = pixels.sparkSession
-    name_of = spark.createDataFrame(sorted(called.items()), "key string, name string")
-    named = stats.withColumn("key", key).join(F.broadcast(name_of), "key")
+    named = stats.withColumn("key", key).join(lb.called_names(known), "key")
     total = named.groupBy("name").agg(F.sum("frequency").alias("frequency"), F.sum("coverage").alias("coverage"))
     vocabulary = lb.number_labels(lb.frequent(total, min_frequency, min_coverage), "name")
     mapping = lb.remap(named.select("dataset", "category", "label", "name"), vocabulary.select("name", "number"), ["name"])

@@ -94,6 +94,22 @@ def resolve_names(labels: Iterable[tuple[str, list[str], int, float]]) -> dict[s
     return called
 
 
+def called_names(labels: DataFrame) -> DataFrame:
+    """``resolve_names`` on rows (key, names, frequency, coverage) without the driver: key, name.
+
+    A name's owner is the first label in order that has it, so owners are a minimum per name; a label that owns none
+    joins an owner, which by definition owns a name of its own.
+    """
+    size = F.when(F.col("frequency") > 0, F.col("coverage") / F.col("frequency")).otherwise(0.0)
+    each = labels.select("key", "frequency", size.alias("size"), F.posexplode("names").alias("place", "name"))
+    owners = each.groupBy("name").agg(F.min(F.struct((-F.col("frequency")).alias("rank"), F.col("key").alias("owner"), F.col("size").alias("owner_size"))).alias("o")).select("name", "o.*")
+    met = each.join(owners, "name")
+    own = met.where("owner = key").groupBy("key").agg(F.min_by("name", "place").alias("name"))
+    lost = met.join(own.select("key"), "key", "left_anti")
+    best = lost.groupBy("key").agg(F.min(F.struct(F.abs(F.col("owner_size") - F.col("size")).alias("far"), F.col("rank"), F.col("owner"))).alias("b")).select(F.col("key").alias("joined"), F.col("b.owner").alias("key"))
+    return own.unionByName(best.join(own, "key").select(F.col("joined").alias("key"), "name"))
+
+
 def split_of(hashed: Column, shares: list[tuple[str, float]]) -> Column:
     """The first split whose running share is at least the hash; shares must sum to one."""
     if abs(sum(s for _, s in shares) - 1) > 1e-9:

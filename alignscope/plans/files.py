@@ -236,10 +236,8 @@ def pipeline_unify(spark, d):
     """Words of documents as labels of five sources, unified by name."""
     words = fx.tokens(spark, d).withColumn("dataset", F.concat(F.lit("set"), F.col("image") % 5))
     names = words.select("dataset", "category", "label").distinct().withColumn("names", F.array("label"))
-    frequent = words.groupBy("label").agg(F.countDistinct("image").alias("n")).where("n >= 40").select("label")
-    some = words.join(F.broadcast(frequent), "label")
     sizes = words.groupBy("image").agg(F.count(F.lit(1)).alias("pixels"))
-    return unify(some, sizes, names.join(F.broadcast(frequent), "label"))["vocabulary"].select("number", "name", "frequency", F.round("coverage", 6).alias("coverage"))
+    return unify(words, sizes, names)["vocabulary"].select("number", "name", "frequency", F.round("coverage", 6).alias("coverage"))
 
 
 @query("streaming_quantiles")

@@ -154,3 +154,33 @@ def test_matlab_file():
 def test_splits():
     with pytest.raises(ValueError, match="sum"):
         labels.split_of(None, [("a", 0.5), ("b", 0.4)])
+
+
+def test_called_names_against_fold(spark):
+    from random import Random
+
+    rng = Random(4)
+    rows = [(f"k{k}", [f"n{rng.randint(0, 25)}" for _ in range(rng.randint(0, 4))], rng.randint(0, 6), rng.randint(0, 8) / 4) for k in range(120)]
+    got = {r["key"]: r["name"] for r in labels.called_names(spark.createDataFrame(rows, "key string, names array<string>, frequency long, coverage double")).collect()}
+    assert got == labels.resolve_names(rows)
+
+
+def test_unify_query_against_brute_force(spark, tmp_path):
+    """Words in as few documents as the rule of the vocabulary allows are numbered."""
+    from collections import Counter
+    from fractions import Fraction
+
+    from alignscope.plans import registry
+
+    docs = [(i, " ".join(w for k, w in enumerate(("all", "Half", "ten", "nine", "thin", "more")) if i % 60 < (60, 30, 10, 9, 12, 45)[k] for _ in range(1 if w == "thin" else 8)) + (" pad" * 60 if i >= 48 else ""), "en" if i % 2 else "de", "s") for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    frequency, coverage = Counter(), Counter()
+    for _, text, _, _ in docs:
+        words = text.lower().split()
+        for w, c in Counter(words).items():
+            frequency[w] += 1
+            coverage[w] += Fraction(c, len(words))
+    kept = sorted((w for w in frequency if frequency[w] >= 10 and coverage[w] >= Fraction(1, 2)), key=lambda w: (-frequency[w], -coverage[w], w))
+    assert {"ten", "pad"} < set(kept) and not {"nine", "thin"} & set(kept)
+    got = sorted(tuple(r) for r in registry.queries()["pipeline_unify"](spark, str(tmp_path)).collect())
+    assert got == [(n + 1, w, frequency[w], round(float(coverage[w]), 6)) for n, w in enumerate(kept)]
