@@ -14,10 +14,13 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose start ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li".split())
+#: What can stand in a head; the start of anything else, or text, closes an open head.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 RAW = "script|style|noscript|template|iframe|svg|textarea|title"
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    r"|<svg(?=[\s/])(?:[^>\"'/]++|/(?!>)|\"[^\"]*+\"|'[^']*+')*+/>"
     rf"|<(?P<raw>{RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?P<inside>.*?)(?:</(?P=raw)\b[^>]*+>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-zA-Z][^>]*+>|<[!?][^>]*+>",
@@ -55,8 +58,16 @@ def blocks(html: str) -> list[Block]:
             text.clear()
         linked = 0
 
+    def close_head() -> None:
+        k = next((k for k, (t, _) in enumerate(stack) if t == "head"), len(stack))
+        for t, _ in stack[k:]:
+            leave(t)
+        del stack[k:]
+
     def say(raw: str) -> None:
         nonlocal linked, where
+        if skipped and stack[-1][0] == "head" and not raw.isspace() and raw:
+            close_head()
         if raw and not skipped:
             plain = unescape(raw)
             if not text:
@@ -102,6 +113,8 @@ def blocks(html: str) -> list[Block]:
                     break
                 if stack[k][0] not in INLINE:
                     break
+        if tag not in IN_HEAD:
+            close_head()
         if tag in VOID:
             continue
         named = [tag]

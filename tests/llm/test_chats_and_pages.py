@@ -61,6 +61,18 @@ def test_blocks():
     assert html_blocks.blocks("") == [] and html_blocks.blocks("<p") != [] or True
 
 
+def test_blocks_of_valid_short_forms():
+    """A self-closed svg is empty, and a head without an end tag ends where the body begins."""
+    texts = lambda html: [b.text for b in html_blocks.blocks(html)]
+    assert texts("<p>a</p><svg/><p>b</p><svg class='x>/' href=/i/j /><p>c</p><svg><text>no</text></svg>d") == ["a", "b", "c", "d"]
+    assert texts("<p>a</p><svg viewBox='0 0 1 1'><path d='M0'/></svg><p>b</p><svg width=1>x") == ["a", "b"]
+    for start in ("<body>", "<body class=x>", "", "<div>"):
+        page = html_blocks.blocks(f"<html><head><meta charset=utf-8><title>no</title><link href=x><style>p{{}}</style>{start}<p>a<article>b</article>")
+        assert [b.text for b in page] == ["a", "b"] and "head" not in page[1].path
+    assert texts("<head><title>no</title> <meta>a <b>b</b><p>c") == ["a b", "c"] and texts("<head><head><body>a") == ["a"]
+    assert texts("<head><noscript><p>no</p></noscript><script>1</script></head>x") == ["x"]
+
+
 def test_gradients_against_differences():
     rng = np.random.default_rng(0)
     model = html_extract.Labeller(width=html_blocks.WIDTH, hidden=3, seed=1)
