@@ -17,24 +17,29 @@
 
 A class's links count all documents of all classes with similarity of at least ``THRESHOLD``, and its own copies.
 
+Of a group of c classes in blocks of B every class's set is read c / B times, as exact link counts need every pair of the
+group; nothing is emitted per pair.
+
 Defined cases: texts without a word (null, empty, white space) have no shingles, are like nothing, and stay alone; a
-null doc_id is treated as the smallest; rows that share a doc_id are one document, so at most one of them stays in
-``drop_near_copies``; other columns are ignored or carried through.
+null doc_id is treated as the smallest; of rows that share a doc_id the one whose text has the lowest hash comes first,
+and of wholly repeated rows one stays in ``drop_near_copies``; texts of any length are read whole; an empty table gives
+no rows; other columns, whatever they are called, are ignored or carried through.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import filled, slices
-from .common import cut, ensure_checkpoint_dir, fits_broadcast, join_groups
+from .common import Tables, cut, fits_broadcast, fresh, join_groups, named
 from .components import components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5
@@ -44,7 +49,7 @@ BUCKET, DEPTH = 4096, 3
 #: Estimated similarity from which two classes are candidates: four standard deviations below the threshold.
 NEAR = THRESHOLD - 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / TOKENS)
 #: Classes and shingles in a block of the verification.
-BLOCK_CLASSES, BLOCK_SHINGLES = 512, 1 << 21
+BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 1 << 21
 NO_ID = -(2**63)
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -110,38 +115,49 @@ def minhashes(sets: list[np.ndarray]) -> np.ndarray:
     return _mix(out)
 
 
+def identity(text: str, doc_id: str) -> list[Column]:
+    """What tells rows apart: the id, and a hash of the text for rows whose id repeats or is null."""
+    return [F.coalesce(named(doc_id).cast("long"), F.lit(NO_ID)), F.xxhash64(named(text).cast("string"))]
+
+
+def identified(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    ids, body = identity(text, doc_id)
+    return docs.select(ids.alias("doc_id"), body.alias("body"), named(text).cast("string").alias("text"))
+
+
 def sketches(docs: DataFrame, text: str, doc_id: str, runs: int) -> DataFrame:
-    """doc_id, key (null without shingles), n (shingles), sig (16 bits of each minhash value), nodes (the first buckets).
+    """doc_id, body (hash of the text), key (null without shingles), n (shingles), sig (8 bits of each minhash value), nodes
+    (the first buckets).
 
-    The first buckets are named by whole minhash values: with 16 bits of them, unlike sets would share buckets by chance,
-    and ever more often as the corpus grows. Inside a bucket 16 bits are enough.
+    The first buckets are named by whole minhash values: with 8 bits of them, unlike sets would share buckets by chance,
+    and ever more often as the corpus grows. Inside a bucket 8 bits are enough.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = filled(batch.column(1))
+            texts = filled(batch.column(2))
             for a, b in slices(texts):
                 sets = shingle_sets(texts.slice(a, b - a))
                 full = [s for s in sets if len(s)]
                 values = minhashes(full) if full else np.zeros((0, TOKENS), np.uint64)
-                sig, nodes = iter((values >> np.uint64(48)).astype(np.uint16)), iter(first_buckets(values, runs))
+                sig, nodes = iter((values >> np.uint64(56)).astype(np.uint8)), iter(first_buckets(values, runs))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
+                        batch.column(1).slice(a, b - a),
                         pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary()),
                         pa.array([next(nodes) if len(s) else None for s in sets], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "key", "n", "sig", "nodes"],
+                    ["doc_id", "body", "key", "n", "sig", "nodes"],
                 )
 
-    ids = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id")
-    return docs.select(ids, F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, key long, n long, sig binary, nodes array<long>")
+    return identified(docs, text, doc_id).mapInArrow(run, "doc_id long, body long, key long, n long, sig binary, nodes array<long>")
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
 def _follow(tokens: np.ndarray, above: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,22 +267,42 @@ def brute_force(members: DataFrame) -> DataFrame:
     return members.mapInArrow(run, "a long, b long")
 
 
-def _shared(level: DataFrame, total: int) -> DataFrame:
-    """node, key, size of the buckets with several classes. Their names are sent to every task if they fit."""
-    sizes = cut(level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    if fits_broadcast(sizes.count(), 32):
-        return level.join(F.broadcast(sizes), "node")
-    return join_groups(level, sizes, "node", "size", total).where("size > 1")
+def _met(rows: DataFrame, groups: DataFrame, total: int) -> DataFrame:
+    """Inner join on node with one row per node (node, size, ...), which every task gets if it fits."""
+    if fits_broadcast(groups.count(), 48):
+        return rows.join(F.broadcast(groups), "node")
+    return join_groups(rows, groups, "node", "size", total).where("size is not null")
+
+
+def _shared(level: DataFrame, total: int, tables: Tables) -> DataFrame:
+    """node, key, size of the buckets with several classes; of buckets with the same classes, one."""
+    sizes = tables.cut(level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    members = tables.cut(_met(level, sizes, total))
+    tables.drop(sizes)
+    # two independent hashes of the set of classes, and its size, stand for the set
+    marks = members.groupBy("node").agg(F.first("size").alias("size"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("x"), F.sum(F.xxhash64("key", F.lit(2)).bitwiseAND(F.lit(0xFFFFFFFF))).alias("s"))
+    single = tables.cut(marks.groupBy("size", "x", "s").agg(F.min("node").alias("node")).select("node", F.col("size").alias("size")))
+    out = tables.cut(_met(members.drop("size"), single, total).select("node", "key", "size"))
+    tables.drop(members)
+    tables.drop(single)
+    return out
+
+
+def _signed(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, key, sig. A few members go to the classes, not all classes to the members."""
+    signatures = classes.select("key", "sig")
+    small = fits_broadcast(members.count(), 48)
+    return signatures.join(F.broadcast(members) if small else members, "key").select("node", "key", "sig")
 
 
-def candidate_links(classes: DataFrame, total: int) -> DataFrame:
+def candidate_links(classes: DataFrame, total: int, tables: Tables) -> DataFrame:
     """Links a, b whose components hold every pair of similar classes, up to the recall."""
     level = classes.select(F.explode("nodes").alias("node"), "key")
-    links = None
+    links = []
     for depth in range(1, DEPTH + 1):
-        level = cut(_shared(level, total))
-        small = level.where(F.col("size") <= BUCKET).select("node", "key")
-        large = level.where(F.col("size") > BUCKET).select("node", "key", "size")
+        members = _shared(level, total, tables)
+        small = members.where(F.col("size") <= BUCKET).select("node", "key")
+        large = members.where(F.col("size") > BUCKET).select("node", "key", "size")
         more = not large.isEmpty()
         if more and depth == DEPTH:
             # chunks of half a bucket; each class goes to every pair of chunks that its own is part of
@@ -275,14 +311,12 @@ def candidate_links(classes: DataFrame, total: int) -> DataFrame:
             each = own.select("node", "key", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
             small = small.unionByName(each.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "key"))
             more = False
-        dealt = small.join(classes.select("key", "sig"), "key").select("node", "key", "sig").repartition(F.col("node")).sortWithinPartitions("node")
-        found = brute_force(dealt)
-        links = found if links is None else links.unionByName(found)
+        dealt = _signed(small, classes).repartition(F.col("node")).sortWithinPartitions("node")
+        links.append(tables.cut(brute_force(dealt)))
         if not more:
             break
-        links = cut(links)
-        level = split_buckets(large.select("node", "key").join(classes.select("key", "sig"), "key"))
-    return links
+        level = tables.cut(split_buckets(_signed(large.select("node", "key"), classes)))
+    return reduce(DataFrame.unionByName, links)
 
 
 def _verify(keys: np.ndarray, sizes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], cross: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -312,16 +346,16 @@ def _verify(keys: np.ndarray, sizes: np.ndarray, sides: np.ndarray, sets: list[n
     return linked @ sizes, _labels(n, *np.nonzero(np.triu(linked)))
 
 
-def verify(docs: DataFrame, classes: DataFrame, groups: DataFrame, text: str, doc_id: str) -> DataFrame:
+def verify(docs: DataFrame, classes: DataFrame, groups: DataFrame, text: str, doc_id: str, tables: Tables) -> DataFrame:
     """groups: key, comp -> key, links, label, parts (blocks of its group)."""
-    members = groups.join(classes.select("key", "first_id", "size", "n"), "key")
+    members = tables.cut(groups.join(classes.select("key", "doc_id", "body", "size", "n"), "key"))
+    total = members.count()
     blocks = members.groupBy("comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("shingles"))
-    blocks = blocks.select("comp", F.greatest(F.ceil(F.col("c") / BLOCK_CLASSES), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    dealt = cut(members.join(blocks, "comp").select("key", "first_id", "size", "comp", "parts", F.pmod(F.xxhash64("key", F.lit(3)), F.col("parts")).cast("int").alias("part")))
-    ids = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
-    texts = docs.select(ids.alias("first_id"), F.col(text).cast("string").alias("text"))
-    small = fits_broadcast(dealt.count(), 64)
-    met = texts.join(F.broadcast(dealt) if small else dealt, "first_id")
+    blocks = blocks.select("comp", "c", F.greatest(F.ceil(F.col("c") / BLOCK_CLASSES), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    met = join_groups(members, blocks, "comp", "c", total)
+    dealt = tables.cut(met.select("key", "doc_id", "body", "size", "comp", "parts", F.pmod(F.xxhash64("key", F.lit(3)), F.col("parts")).cast("int").alias("part")))
+    small = fits_broadcast(total, 72)
+    met = identified(docs, text, doc_id).join(F.broadcast(dealt) if small else dealt, ["doc_id", "body"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,49 +387,64 @@ def verify(docs: DataFrame, classes: DataFrame, groups: DataFrame, text: str, do
     return pairs.mapInArrow(decide, "key long, links long, label long, parts int")
 
 
+def _classed(docs: DataFrame, text: str, doc_id: str, recall: float) -> DataFrame:
+    """One row per row of ``docs``: doc_id, body, class_id, class_body (of the first row of its class), n_links, copies."""
+    with Tables(docs.sparkSession) as tables:
+        drawn = tables.cut(sketches(docs, text, doc_id, runs_for(recall)))
+        total = drawn.count()
+        grouped = drawn.where(F.col("key").isNotNull()).groupBy("key")
+        classes = grouped.agg(F.first("sig").alias("sig"), F.first("nodes").alias("nodes"), F.first("n").alias("n"), F.count(F.lit(1)).alias("size"), F.min(F.struct("doc_id", "body")).alias("first"))
+        classes = tables.cut(classes.select("key", "sig", "nodes", "n", "size", "first.*"))
+        groups = components(candidate_links(classes, total, tables), tables).select(F.col("node").alias("key"), F.col("label").alias("comp"))
+        decided = tables.cut(verify(docs, classes, groups, text, doc_id, tables))
+        links = decided.groupBy("key").agg(F.sum("links").alias("links"))
+        whole = decided.where("parts = 1").select("key", "label")
+        split = decided.where("parts > 1")
+        if not split.isEmpty():
+            # the parts of a group that was decided in blocks meet by their common classes
+            met = components(split.select(F.col("key").alias("a"), F.col("label").alias("b")), tables).select(F.col("node").alias("key"), "label")
+            alone = split.select("key").distinct().join(met.select("key"), "key", "left_anti")
+            whole = whole.unionByName(met).unionByName(alone.select("key", F.col("key").alias("label")))
+        known = tables.cut(whole.join(classes.select("key", "doc_id", "body"), "key"))
+        lowest = known.groupBy("label").agg(F.min(F.struct("doc_id", "body")).alias("lowest"), F.count(F.lit(1)).alias("c"))
+        of_group = join_groups(known.select("key", "label"), lowest, "label", "c", total).select("key", "lowest").join(links, "key")
+        info = classes.select("key", "size", F.struct("doc_id", "body").alias("own")).join(of_group, "key", "left")
+        info = info.select("key", "size", F.coalesce("lowest", "own").alias("lowest"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+        info = tables.cut(info.where("size > 1 or n_links > 0"))
+        out = join_groups(drawn.select("doc_id", "body", "key"), info, "key", "size", total)
+        return cut(
+            out.select(
+                "doc_id",
+                "body",
+                F.coalesce("lowest.doc_id", "doc_id").alias("class_id"),
+                F.coalesce("lowest.body", "body").alias("class_body"),
+                F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+                F.coalesce("size", F.lit(1)).cast("long").alias("copies"),
+            )
+        )
+
+
 def join_near(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", recall: float = RECALL) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, n_links, copies.
 
     class_id is the smallest doc_id of all documents that links connect with it; n_links is the number of documents
     with similarity of at least the threshold; copies is the number of documents with the same shingles.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
-    drawn = cut(sketches(docs, text, doc_id, runs_for(recall)))
-    total = drawn.count()
-    classes = cut(drawn.where(F.col("key").isNotNull()).groupBy("key").agg(F.first("sig").alias("sig"), F.first("nodes").alias("nodes"), F.first("n").alias("n"), F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("first_id")))
-    groups = components(candidate_links(classes, total)).select(F.col("node").alias("key"), F.col("label").alias("comp"))
-    decided = cut(verify(docs, classes, groups, text, doc_id))
-    links = decided.groupBy("key").agg(F.sum("links").alias("links"))
-    whole = decided.where("parts = 1").select("key", "label")
-    split = decided.where("parts > 1")
-    if not split.isEmpty():
-        # the parts of a group that was decided in blocks meet by their common classes
-        met = components(split.select(F.col("key").alias("a"), F.col("label").alias("b"))).select(F.col("node").alias("key"), "label")
-        whole = whole.unionByName(met)
-    named = whole.join(classes.select("key", "first_id"), "key")
-    lowest = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    of_group = named.join(lowest, "label").select("key", "class_id").join(links, "key")
-    info = classes.select("key", "size", "first_id").join(of_group, "key", "left")
-    info = info.select("key", "size", F.coalesce("class_id", "first_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
-    info = info.where("size > 1 or n_links > 0")
-    out = join_groups(drawn.select("doc_id", "key"), info, "key", "size", total)
-    real = lambda c: F.when(c != NO_ID, c)
-    return out.select(
-        real(F.col("doc_id")).alias("doc_id"),
-        real(F.coalesce("class_id", "doc_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("size", F.lit(1)).cast("long").alias("copies"),
-    )
-
-
-def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the document with the smallest doc_id."""
-    joined = cut(join_near(docs, text, doc_id))
-    gone = joined.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    small = fits_broadcast(gone.count(), 32)
-    key = F.col(doc_id).cast("long").eqNullSafe(F.col("__gone"))
-    left = docs.join(F.broadcast(gone) if small else gone, key, "left_anti")
-    again = joined.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("n_links") > 0)).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__gone"))
-    if again.isEmpty():
-        return left
-    return left.join(again, key, "left_anti").unionByName(left.join(again, key, "left_semi").dropDuplicates([doc_id]))
+    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
+    return _classed(docs, text, doc_id, recall).select(real("doc_id"), real("class_id"), "n_links", "copies")
+
+
+def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", recall: float = RECALL) -> DataFrame:
+    """The rows of ``docs`` that stay: of each class the first, by doc_id."""
+    names = fresh(docs, "near_id", "near_body")
+    keys = [F.col(a).alias(b) for a, b in zip(("doc_id", "body"), names, strict=True)]
+    classed = _classed(docs, text, doc_id, recall)
+    first = (F.col("doc_id") == F.col("class_id")) & (F.col("body") == F.col("class_body"))
+    gone = classed.where(~first).select(*keys).distinct()
+    small = fits_broadcast(gone.count(), 48)
+    rows = docs.withColumns(dict(zip(names, identity(text, doc_id), strict=True)))
+    left = rows.join(F.broadcast(gone) if small else gone, names, "left_anti")
+    again = classed.where(first & (F.col("copies") > 1)).groupBy(*keys).count().where("count > 1").drop("count")
+    if not again.isEmpty():
+        left = left.join(again, names, "left_anti").unionByName(left.join(again, names, "left_semi").dropDuplicates(names))
+    return left.select(*[named(c) for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 #: Names that operators use inside; as extra columns they must not disturb.
-CLASHING = "key string, n int, size int, label int, host string, node int, sha string, maybe int, rid int, verdict int, __sha string, __host string, pattern int, group_size int"
+CLASHING = "key string, n int, size int, label int, host string, node int, sha string, maybe int, rid int, verdict int, __sha string, __host string, pattern int, group_size int, __gone int, __bits0 int, body int, `a.b` int, `c``d` string"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + CLASHING
 
 

@@ -119,8 +119,63 @@ def test_jaccard_join_odd_tables(make, prose):
     assert jaccard_join.drop_near_copies(make([prose(1, 60)] * 3, ids=[5, 5, 5])).count() == 1
 
 
-def test_jaccard_recall_follows_runs():
-    assert jaccard_join.runs_for(0.9) < jaccard_join.runs_for(0.9999)
+def test_jaccard_keeps_one_of_each_class_without_ids(make, prose):
+    """Rows with null or equal ids are told apart by their texts."""
+    a, b = copies(prose, 5, 3), copies(prose, 6, 2)
+    for ids in ([None] * 7, [4] * 7):
+        docs = make([*a, *b, a[0], prose(7, 80)], ids=ids)
+        kept = [r["text"] for r in jaccard_join.drop_near_copies(docs).collect()]
+        assert len(kept) == 3 and sum(t in a for t in kept) == 1 and sum(t in b for t in kept) == 1
+        assert sorted(r["n_links"] for r in jaccard_join.join_near(docs).collect()) == [0, 1, 1, 3, 3, 3, 3]
+
+
+def test_jaccard_recall(make, prose):
+    """Pairs near the threshold against brute force: ids divisible by 100 against all rows."""
+    from random import Random
+
+    rng = Random(3)
+    texts, words = [], 120
+    for k in range(900):
+        base = prose(1000 + k, words).split()
+        other = list(base)
+        at = rng.sample(range(0, words, 6), rng.choice([1, 2, 2, 3, 3]))  # five words a change: similarity from 0.7
+        for i in at:
+            other[i] = f"x{k}y{i}"
+        texts += [" ".join(base), " ".join(other)]
+    # the pairs' rows stand at 100 k and 100 k + 1, and one after another between
+    ids = [100 * (i // 2) + i % 2 for i in range(len(texts))]
+    sets = [set(zip(*(t.split()[j:] for j in range(5)), strict=False)) for t in texts]
+    holders = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.join_near(make(texts, ids=ids)).collect()}
+    want = found = close = 0
+    for i, s in enumerate(sets):
+        if ids[i] % 100 == 0:
+            others = {j for x in s for j in holders[x]} - {i}
+            near = [j for j in others if 5 * len(s & sets[j]) >= 4 * len(s | sets[j])]
+            close += sum(100 * len(s & sets[j]) < 86 * len(s | sets[j]) for j in near)
+            want += len(near)
+            found += min(got[ids[i]], len(near))
+            assert got[ids[i]] <= len(near)
+    assert close > 200 and found >= 0.99 * want
+
+
+def test_components(spark, tmp_path):
+    """Chains, a hub and rings against union by hand; no number of rounds ends them."""
+    from alignscope.llm.common import Tables
+    from alignscope.llm.components import components
+
+    chain = [(k, k + 1) for k in range(2000)]
+    hub = [(5000, 5000 + k) for k in range(1, 3000)]
+    ring = [(9000 + k, 9000 + (k + 1) % 50) for k in range(50)]
+    with Tables(spark) as tables:
+        links = spark.createDataFrame([*chain, *hub, *ring, (9999, 9999)], "a long, b long").repartition(4)
+        got = {r["node"]: r["label"] for r in components(links, tables).collect()}
+        assert components(links.limit(0), tables).count() == 0
+    want = {**{k: 0 for k in range(2001)}, **{k: 5000 for k in range(5000, 8000)}, **{k: 9000 for k in range(9000, 9050)}}
+    assert got == want
 
 
 def test_weak_quality(make, prose):
