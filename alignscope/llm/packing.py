@@ -6,13 +6,15 @@ nowhere is cut to fill the sequences up, so none has padding; what is left over
 end of a partition into sequences whose lengths are powers of two, which aren't padded either. A window is bounded, so
 memory is too; there is no shuffle, and a task that is repeated makes the same sequences.
 
-Defined cases: a null text is an empty one and has only the end id; each row is a document of its own, also with a
-doc_id that repeats or is null; a document longer than a sequence is cut, its full pieces being sequences of their own;
-an empty table has no pieces; other columns are ignored.
+Defined cases: a null text is an empty one and has only the end id; a special token's string in a text is that token, as
+in a plain call of the library; each row is a document of its own, also with a doc_id that repeats or is null; of
+documents of one length the first comes first; a document longer than a sequence is cut, its full pieces being sequences
+of their own; an empty table has no pieces; other columns, whatever they are called, are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,35 +24,62 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .chunks import Pieces, bounds, filled, slices
+from .common import named
 
 SEQUENCE, END_ID = 4096, 2
 LINEAR, QUADRATIC = 1.0, 1.0 / SEQUENCE
 #: Tokens that are packed at once.
 WINDOW = 1 << 21
-#: Chunks and words that a Python worker remembers at most.
-CACHE = 1 << 19
+#: Chunks and words that a Python worker remembers at most, and the longest remembered one.
+CACHE, LONGEST = 1 << 19, 256
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _SAFE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
 
 
+#: The settings of a tokenizer file that the shortcuts below are made for.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>"}
+
+
+def known_settings(path: str) -> list[str]:
+    """The strings of the file's added tokens; an error if its settings aren't those that this module knows."""
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    steps = (d.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+    split, level = steps[0], steps[-1]
+    added = d.get("added_tokens") or []
+    fits = (
+        d.get("normalizer") == NORMALIZER
+        and len(steps) == 2
+        and (split.get("type"), split.get("pattern"), split.get("behavior"), split.get("invert")) == ("Split", {"Regex": SPLIT}, "Removed", True)
+        and (level.get("type"), level.get("add_prefix_space"), level.get("use_regex")) == ("ByteLevel", False, False)
+        and all(d["model"].get(k) == v for k, v in MODEL.items())
+        and max([*d["model"]["vocab"].values(), *(t["id"] for t in added)]) < 1 << 16
+        and not any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) for t in added)
+    )
+    if not fits:
+        raise ValueError(f"{path}: a tokenizer with other settings than this packing knows")
+    return [t["content"] for t in added]
+
+
 class WordTokenizer:
     """The tokenizer's ids, from a cache of white-space separated chunks.
 
-    The tokenizer drops white space and no match of its pattern spans any, so chunks can be encoded one by one. Chunks
-    of ASCII and Latin-1 letters, whose normal form and lower case are plain, are split here and reach the BPE model
-    word by word; any other chunk goes through the whole tokenizer.
+    The tokenizer drops white space, and neither a match of its pattern nor an added token spans any, so chunks can be
+    encoded one by one. Chunks of ASCII and Latin-1 letters, whose normal form and lower case are plain, are split here
+    and reach the BPE model word by word; any other chunk, and any with an added token, goes through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        self.added = known_settings(path)
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
         self.model = self.full.model
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
@@ -64,11 +93,12 @@ class WordTokenizer:
         if got is None:
             shown = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
             got = np.array([t.id for t in self.model.tokenize(shown)], "<u2").tobytes()
-            self.words[word] = got
+            if len(word) <= LONGEST:
+                self.words[word] = got
         return got
 
     def chunk(self, chunk: str) -> bytes:
-        if not _SAFE.fullmatch(chunk):
+        if not _SAFE.fullmatch(chunk) or any(t in chunk for t in self.added):
             return np.array(self.full.encode(chunk, add_special_tokens=False).ids if chunk else [], "<u2").tobytes()
         return b"".join([self.word(p) for p in _PARTS.findall(chunk.lower())])
 
@@ -86,7 +116,9 @@ class WordTokenizer:
         for name in names:
             run = cache.get(name)
             if run is None:
-                run = cache[name] = self.chunk(name)
+                run = self.chunk(name)
+                if len(name) <= LONGEST:
+                    cache[name] = run
             runs.append(run)
         pieces, numbers = Pieces(runs, "<u2"), coded.indices.to_numpy()
         offsets = np.asarray(lists.offsets)
@@ -198,4 +230,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", doc_id:
         sequences, _ = pack(waiting, True, size)
         yield _rows(sequences, made)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(named(doc_id).cast("long").alias("doc_id"), named(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
