@@ -6,8 +6,13 @@ prefixes; a token may follow another only if merging by rank would keep the two
 pairs of tokens and undoes merges from both sides of the border. An end position from which no way led on is never
 entered again, so the work is linear in the piece. Pieces and space-separated chunks are remembered.
 
+Which code points are letters, numbers and white space is asked of the encoding library itself, as its Unicode tables are
+not those of the module that splits texts here: code points of which the two think differently are split as if they were
+a stand-in of the library's class.
+
 Defined cases: a null text is an empty one; an empty text has no ids; texts of any length are encoded whole; each row is
-encoded by itself, so ties and repeated rows need no rule; other columns are ignored.
+encoded by itself, so ties and repeated rows need no rule; an empty table gives no rows; other columns, whatever they
+are called, are ignored. Any pattern of these classes may be passed; for others than ``CHUNKED`` texts are matched whole.
 """
 
 from __future__ import annotations
@@ -15,18 +20,43 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .chunks import Pieces, bounds, filled, slices
+from .common import named
 
 #: Chunks, pieces and pairs of tokens that a Python worker remembers at most, and the longest remembered piece.
 CACHE, LONGEST = 1 << 19, 256
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+#: Fixed value: the usual pattern, no match of which goes on before a single space between two other characters.
+CHUNKED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Stand-ins of the classes, and of all other characters.
+STAND_INS = {r"\p{L}": "ß", r"\p{N}": "0", r"\s": "\t"}
+STAND_IN_OTHER = "!"
+
+
+@lru_cache(maxsize=1)
+def stand_ins() -> dict[int, str]:
+    """Code points whose class differs between the encoding library and the splitting module -> a stand-in of the library's."""
+    import regex
+    import tiktoken
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    single = {bytes([b]): b for b in range(256)}
+    theirs: dict[str, str] = {}
+    differ: set[str] = set()
+    for name, stand_in in STAND_INS.items():
+        # only what the pattern matches is encoded, here byte by byte
+        library = tiktoken.Encoding("class", pat_str=f"{name}+", mergeable_ranks=single, special_tokens={})
+        members = set(bytes(library.encode_ordinary(every)).decode())
+        theirs |= dict.fromkeys(members, stand_in)
+        differ |= members ^ set("".join(regex.findall(f"{name}+", every)))
+    return {ord(c): theirs.get(c, STAND_IN_OTHER) for c in differ}
 
 
 class ByteBpe:
@@ -43,7 +73,10 @@ class ByteBpe:
             self.tokens[rank] = token
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
-        self.find = regex.compile(pattern).findall
+        self.dtype = "<u2" if len(self.tokens) <= 1 << 16 else "<u4"
+        self.find, self.chunked = regex.compile(pattern), pattern == CHUNKED
+        self.foreign = stand_ins()
+        self.strange = frozenset(map(chr, self.foreign))
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.shorter: dict[int, int | None] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -127,10 +160,14 @@ class ByteBpe:
     def encode_text(self, text: str) -> bytes:
         """Ids of any text, each match of the pattern separately."""
         known, out = self.pieces, []
-        for piece in self.find(text):
+        if text.isascii() or self.strange.isdisjoint(text):
+            pieces = self.find.findall(text)
+        else:
+            pieces = [text[m.start() : m.end()] for m in self.find.finditer(text.translate(self.foreign))]
+        for piece in pieces:
             got = known.get(piece)
             if got is None:
-                got = np.array(self.encode_piece(piece.encode()), "<u2").tobytes()
+                got = np.array(self.encode_piece(piece.encode()), self.dtype).tobytes()
                 if len(piece) <= LONGEST:
                     known[piece] = got
             out.append(got)
@@ -154,6 +191,7 @@ class ByteBpe:
         numbers = coded.indices.to_numpy().astype(np.int64)
         names = coded.dictionary.to_pylist()
         odd = np.fromiter((not x or x[0].isspace() or x[-1].isspace() for x in names), bool, len(names))
+        odd |= not self.chunked
         whole = np.flatnonzero(np.logical_or.reduceat(odd[numbers], offsets[:-1])) if len(numbers) else np.array([], np.int64)
         runs: list[bytes] = []
         known = self.chunks
@@ -173,7 +211,7 @@ class ByteBpe:
             keep[firsts[k] + 1 : offsets[k + 1]] = False
         extra = [self.encode_text(texts[k].as_py() if k in alone else heads[k]) for k in range(len(heads))]
         numbers[firsts] = len(runs) + np.arange(len(heads))
-        table = Pieces(runs + extra, "<u2")
+        table = Pieces(runs + extra, self.dtype)
         lens = np.where(keep, table.lens[numbers], 0)
         return table.expand(numbers[keep], lens[keep]), bounds(lens, offsets)
 
@@ -207,7 +245,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
                 lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["doc_id", "ids"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(named(doc_id).cast("long").alias("doc_id"), named(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def digest_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -230,4 +268,4 @@ def digest_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
                     decoded.append(back.hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(named(doc_id).cast("long").alias("doc_id"), named(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)

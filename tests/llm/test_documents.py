@@ -224,8 +224,11 @@ def test_packing(make, prose):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(path("word_bpe_49k.json"))
-    plain.encode_special_tokens = True
     texts = [*ODD, *[prose(k, 40 * k) for k in range(1, 30)], prose(99, 9000), "Straße İstanbul 漢字 don't 12a ﬁn  ÀÉ"]
+    texts += ["end <|endoftext|> go", "a<|startoftext|>b<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> <|endof text|>", "İ<|endoftext|>ß", "x" * 300_000]
+    pool = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", " ", "\n", "'s", "İ", "ß", "a", "B", "9", "é", "e\u0301", "漢", "\x1c", "\u2028", "ﬁ"]
+    rng = np.random.default_rng(8)
+    texts += ["".join(rng.choice(pool, 25)) for _ in range(300)]
     rows = packing.pack_documents(make(texts), path("word_bpe_49k.json")).collect()
     per, sequences = {}, {}
     for r in rows:
@@ -245,6 +248,10 @@ def test_packing(make, prose):
             at += r["length"]
         assert at <= packing.SEQUENCE and at & (at - 1) == 0
     assert packing.pack_documents(make(["a"]).limit(0), path("word_bpe_49k.json")).count() == 0
+    with pytest.raises(ValueError, match="other settings"):
+        packing.WordTokenizer(path("byte_bpe_50k.json"))
+    same = packing.pack_documents(make(["a b"] * 3, ids=[1, 1, None]), path("word_bpe_49k.json")).collect()
+    assert sum(r["length"] for r in same) == 9 and {(r["doc_id"], r["doc_tokens"]) for r in same} == {(1, 3), (None, 3)}
 
 
 def test_packing_balances_costs():
@@ -265,13 +272,21 @@ def test_byte_bpe(make, prose):
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
     rng = np.random.default_rng(5)
     pool = ["a", "th", "ing", " ", "  ", "\n", "é", "漢", "🙂", "1", "'s", "!!", " ", "\x1c", "</s>", "ß"]
-    texts = [*ODD, prose(4, 400), "aaaa" * 500, "ab" * 700, *["".join(rng.choice(pool, 30)) for _ in range(60)]]
+    every = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x110000)]]
+    texts = [*ODD, prose(4, 400), "aaaa" * 500, "ab" * 700, "y" * 400_000, *["".join(rng.choice(pool, 30)) for _ in range(60)]]
+    texts += ["".join(f"a{c}1 {c}{c}\n" for c in every[k : k + 9000]) for k in range(0, len(every), 9000)]  # every code point
+    texts += ["".join(every[k] for k in rng.integers(0, len(every), 30)) for _ in range(200)]
     for r in byte_bpe.encode_documents(make(texts), path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect():
         assert r["ids"] == library.encode_ordinary(texts[r["doc_id"]] or "")
     for r in byte_bpe.digest_documents(make(texts), path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect():
         t = texts[r["doc_id"]] or ""
         ids = np.array(library.encode_ordinary(t), "<u4")
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    other = r"\p{L}+ \p{L}+|\p{N}{1,3}|[^\p{L}\p{N}]|\p{L}"  # matches go on over spaces
+    odd = tiktoken.Encoding("odd", pat_str=other, mergeable_ranks=bpe.ranks, special_tokens={})
+    some = [*ODD, prose(4, 40), "a b c d 12345 ef gh", "\u19038 b"]
+    for r in byte_bpe.encode_documents(make(some), path("byte_bpe_multi_50k.tiktoken"), other).collect():
+        assert r["ids"] == odd.encode_ordinary(some[r["doc_id"]] or "")
     assert byte_bpe.digest_documents(make(["a"]).limit(0), path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == 0
 
 
