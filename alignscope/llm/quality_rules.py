@@ -6,7 +6,8 @@ rejected. The verdict is joined back: a rejected host loses all its documents, a
 a trusted one those alone that fail a base rule.
 
 Defined cases: a null or empty text has no words and so fails the base rule; a null host is a host of its own; repeated
-rows are counted and returned each; other columns are ignored.
+rows are counted and returned each, and rules look at one document only, so ties need no rule; texts of any length are
+read whole; an empty table gives no rows; other columns, whatever they are called, are ignored or carried through.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, cut, fits_broadcast, fresh, join_groups
+from .common import WHITE, cut, fits_broadcast, fresh, join_groups, named
 
 #: The characters that count as symbols.
 SYMBOLS = r"[#*$%&|<>]"
@@ -48,9 +49,9 @@ def _same(x: Column, y: Column) -> Column:
 def with_counts(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (names start with ``prefix``)."""
     body, words, keys, exact, ats, lines = fresh(docs, "body", "words", "keys", "exact", "ats", "lines")
-    keep = docs.columns
+    keep = [named(c) for c in docs.columns]
     at = lambda name: F.col(name)
-    df = docs.withColumn(body, F.coalesce(F.col(text), F.lit("")))
+    df = docs.withColumn(body, F.coalesce(named(text), F.lit("")))
     df = df.withColumns({words: F.filter(F.split(body, WHITE), lambda w: w != ""), lines: F.filter(F.split(body, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))})
     firsts = F.when(_windows(at(words)) > 0, F.sequence(F.lit(0), _windows(at(words)) - 1)).otherwise(F.array().cast("array<int>"))
     hashes = F.transform(firsts, lambda i: F.struct(F.xxhash64(F.get(at(words), i), F.get(at(words), i + 1), F.get(at(words), i + 2)).alias("h"), i.alias("at")))
@@ -97,7 +98,7 @@ def host_verdicts(failures: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """One narrow row per document: doc_id, the counts, base_failed, kept, host_rate."""
-    counted = cut(with_counts(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(host), F.lit("\0")).alias("host"), F.col(text).alias("text"))).drop("text"))
+    counted = cut(with_counts(docs.select(named(doc_id).alias("doc_id"), F.coalesce(named(host), F.lit("\0")).alias("host"), named(text).alias("text"))).drop("text"))
     failed = counted.select("host", (base_failed() | soft_failed()).alias("failed"))
     verdicts = host_verdicts(failed)
     met = join_groups(counted, verdicts, "host", "n", counted.count())
@@ -108,18 +109,19 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The rows of ``docs`` whose verdict is to keep, with their own columns.
 
-    The first pass leaves one row per host; the second tests each document where it stands, so no text is shuffled
-    unless the table of hosts is too large to broadcast.
+    Texts are counted once; the rows are written with two bits beside them. No text is shuffled unless the table of
+    doubtful and rejected hosts is too large to broadcast.
     """
-    name, verdict, n, p, guard = *fresh(docs, "host", "verdict", "n"), *fresh(docs, "c", "guard")
-    hosted = docs.withColumn(name, F.coalesce(F.col(host), F.lit("\0")))
-    first = with_counts(hosted.select(F.col(name).alias("host"), F.col(text).alias("text"))).select("host", (base_failed() | soft_failed()).alias("failed"))
-    verdicts = cut(host_verdicts(first)).where("verdict > 0").select(F.col("host").alias(name), F.col("n").alias(n), F.col("verdict").alias(verdict))
-    # a filter isn't pushed below a column that isn't deterministic, so the counts are made once, not in its condition
-    counted = with_counts(hosted, text, prefix=p).withColumn(guard, F.monotonically_increasing_id())
+    name, verdict, n, base, soft, p = fresh(docs, "host", "verdict", "n", "base", "soft", "c")
+    columns = [named(c) for c in docs.columns]
+    counted = with_counts(docs.withColumn(name, F.coalesce(named(host), F.lit("\0"))), text, prefix=p)
+    counted = cut(counted.select(*columns, name, base_failed(p).alias(base), soft_failed(p).alias(soft)))
+    verdicts = cut(host_verdicts(counted.select(F.col(name).alias("host"), (F.col(base) | F.col(soft)).alias("failed"))).where("verdict > 0"))
+    verdicts = verdicts.select(F.col("host").alias(name), F.col("n").alias(n), F.col("verdict").alias(verdict))
+    counted = counted.where(~F.col(base))
     if fits_broadcast(verdicts.count(), 128):
         met = counted.join(F.broadcast(verdicts), name, "left")
     else:
-        met = join_groups(counted, verdicts, name, n, docs.count())
+        met = join_groups(counted, verdicts, name, n, counted.count())
     bad = F.coalesce(F.col(verdict), F.lit(0))
-    return met.where((F.col(guard) >= 0) & ~base_failed(p) & (bad < 2) & ~(soft_failed(p) & (bad == 1))).select(*docs.columns)
+    return met.where((bad < 2) & ~(F.col(soft) & (bad == 1))).select(*columns)
