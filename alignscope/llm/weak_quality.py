@@ -4,12 +4,15 @@ Overlapping heuristic labellers vote good, bad or nothing on every document. How
 counted over all documents; expectation-maximisation on these counts (at most 3 to the number of labellers, whatever the
 corpus) estimates each labeller's accuracy on good and on bad documents and the share of good ones, as if votes were
 independent given the class. The posterior of a document's pattern is its label. A linear scorer on hashed n-grams of
-character classes and of characters, and on echoes of the last four words, is then trained on a bounded sample (``SAMPLE`` documents, those with the lowest
-hashes) with these labels, and every document is scored by its whole text.
+character classes and of characters, and on echoes of the last four words, is then trained on a bounded sample of
+different texts (about ``SAMPLE``, those with the lowest hashes, and never over ``SAMPLE_BOUND``; neither ids nor copies
+sway it) with these labels, and every document is scored by its whole text.
 
 Defined cases: a null text is an empty one; an empty text has no n-grams, and its score is the labellers' posterior of
-an empty text's votes; documents are scored one by one, so ties and repeated rows need no rule; with an empty table
-nothing is trained and nothing returned; other columns are carried through or ignored.
+an empty text's votes; labellers say nothing of texts with under ``FEW_WORDS`` words, as shares of so few mean little,
+and the scorer alone decides on them; documents are scored one by one, so ties and repeated rows need no rule, and texts
+of any length are read whole; with an empty table nothing is trained and nothing returned; other columns, whatever they
+are called, are carried through or ignored.
 """
 
 from __future__ import annotations
@@ -22,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import filled, slices
-from .common import fresh
+from .common import named
 
-SAMPLE, ROUNDS, EPOCHS = 4000, 200, 120
+SAMPLE, SAMPLE_BOUND, ROUNDS, EPOCHS = 4000, 5000, 200, 120
 #: Sizes of the feature spaces: hashed n-grams of character classes and of characters, and which of the last words a word repeats.
 SHAPES, GRAMS, ECHOES = 1 << 13, 1 << 14, 1 << 4
 KEEP, FEW_WORDS = 0.2, 8
@@ -146,10 +149,7 @@ def profile(texts: list[str], codes: np.ndarray, kinds: np.ndarray, of: np.ndarr
 
 
 def vote(values: np.ndarray) -> np.ndarray:
-    """A number per text that stands for its pattern of votes: one digit of base 3 per labeller (0 none, 1 good, 2 bad).
-
-    Shares say little about a few words, so no labeller votes on a text with under ``FEW_WORDS``.
-    """
+    """A number per text that stands for its pattern of votes: one digit of base 3 per labeller (0 none, 1 good, 2 bad)."""
     out = np.zeros(len(values), np.int64)
     enough = values[:, -1] >= FEW_WORDS
     for _, column, good, bad in LABELLERS:
@@ -259,12 +259,12 @@ def _mapped(docs: DataFrame, columns: list, work, schema: str) -> DataFrame:
     return docs.select(*columns).mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE) -> Model | None:
+def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE, bound: int = SAMPLE_BOUND) -> Model | None:
     def votes(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
         p, c = np.unique(vote(profile(texts, *decode(texts))), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(p), pa.array(c)], ["pattern", "n"])
 
-    body = F.col(text).cast("string").alias("text")
+    body = F.coalesce(named(text).cast("string"), F.lit("")).alias("text")
     # at most 3 ** len(LABELLERS) rows reach the driver
     table = _mapped(docs, [body], votes, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas()
     if not len(table):
@@ -286,11 +286,11 @@ def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: i
             j, f = np.unique(echo[d:e], return_counts=True)
             index.append(np.concatenate([i, j + SHAPES + GRAMS]).astype(np.int32).tobytes())
             value.append(np.concatenate([c / max(b - a, 1), f / max(e - d, 1)]).astype(np.float32).tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(p), pa.array(index, pa.binary()), pa.array(value, pa.binary())], ["pattern", "i", "v"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(index, pa.binary()), pa.array(value, pa.binary())], ["h", "pattern", "i", "v"])
 
     share = min(1.0, sample / counts.sum())
-    drawn = docs.where(F.xxhash64(F.col(doc_id).cast("string"), F.lit(11)).bitwiseAND(F.lit(2**62 - 1)) < F.lit(int(share * 2**62)))
-    got = _mapped(drawn, [body], counted, "pattern long, i binary, v binary").collect()
+    drawn = docs.select(body).select(F.xxhash64("text", F.lit(11)).bitwiseAND(F.lit(2**62 - 1)).alias("h"), "text").where(F.col("h") < int(share * 2**62)).distinct()
+    got = _mapped(drawn, ["h", "text"], counted, "h long, pattern long, i binary, v binary").orderBy("h", "i").limit(bound).collect()
     labels = np.array([posterior[r["pattern"]] for r in got])
     empty = posterior.get(int(vote(profile([""], *decode([""])))[0]), prior)
     if not len(labels):
@@ -306,18 +306,19 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", doc_id: str
         s = shared.value.score(texts)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array(s >= KEEP)], ["doc_id", "score", "kept"])
 
-    return _mapped(docs, [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")], scored, "doc_id long, score double, kept boolean")
+    return _mapped(docs, [named(doc_id).cast("long").alias("doc_id"), named(text).cast("string").alias("text")], scored, "doc_id long, score double, kept boolean")
 
 
-def keep_good(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, where they stand."""
-    model = train(docs, text, doc_id)
+    model = train(docs, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    body = fresh(docs, "body")[0]
 
     def kept(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
         own = pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1]))
         return own.filter(pa.array(shared.value.score(texts) >= KEEP))
 
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return _mapped(docs, [*columns, F.col(text).cast("string").alias(body)], kept, docs.schema)
+    # plain names inside, as Arrow maps don't take every name
+    columns = [named(c).alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    inside = docs.select(*columns)
+    return _mapped(docs, [*columns, named(text).cast("string").alias("text")], kept, inside.schema).toDF(*docs.columns)
