@@ -5,13 +5,16 @@ The conjunction of an n-gram's slots is the set of all languages that contain th
 for each language; counts are corrected for the false positives that each slice's fill makes likely, and for the share
 of a language's own n-grams that its filter knows. The highest corrected count decides.
 
-Training takes at most ``SAMPLE`` documents of each language (those with the lowest hashes), a bounded sample; every
-document is then classified by its whole text. N-grams that make up less than ``MIN_SHARE`` of a language's sample are
-not learned, so a language has at most 1/MIN_SHARE of them and the model's size is bounded.
+Training takes about ``SAMPLE`` different texts of each language (those with the lowest hashes), a bounded sample that
+neither ids nor copies sway; every document is then classified by its whole text. N-grams that make up less than
+``MIN_SHARE`` of a language's sample are not learned, so a language has at most 1/MIN_SHARE of them, and a language with
+few rows learns all of its own. The model has 64 languages to a plane of at most 8 MB, and no bound on languages.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; a text none of whose n-grams is known gets
-the language with the most training rows and score 0; ties go to the language that sorts first; without training rows
-all is ``und``; rows whose language is null are no training rows but are classified; other columns are ignored.
+the language with the most training rows (of equals the one that sorts first) and score 0; ties go to the language that
+sorts first; without training rows all is ``und``; rows whose language is null are no training rows but are classified;
+each row is classified by itself, so repeated rows need no rule; texts of any length are read whole; an empty table gives
+no rows; other columns, whatever they are called, are ignored.
 """
 
 from __future__ import annotations
@@ -24,9 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import filled, slices
+from .common import fits_broadcast, named
 
-SAMPLE, MIN_SHARE, MAX_LANGUAGES = 4000, 1e-5, 1024
-N, SLOTS, HASHES = 4, 1 << 20, 3
+SAMPLE, MIN_SHARE = 4000, 1e-5
+#: Letters of an n-gram, most slots of the filter, slots for each n-gram of the largest language, and hashes.
+N, SLOTS, SLOTS_PER_GRAM, HASHES = 4, 1 << 20, 16, 3
 UND = "und"
 SCHEMA = "doc_id long, lang_pred string, score double"
 
@@ -73,10 +78,11 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h[good], of[:m][good], has
 
 
-def slots(h: np.ndarray) -> list[np.ndarray]:
+def slots(h: np.ndarray, size: int) -> list[np.ndarray]:
+    """Slots of n-grams in a filter of ``size`` slots, a power of two."""
     h = h * _ODD[0]
     h ^= h >> np.uint64(32)
-    return [((h >> np.uint64(20 * k)) & np.uint64(SLOTS - 1)).astype(np.int64) for k in range(HASHES)]
+    return [((h >> np.uint64(20 * k)) & np.uint64(size - 1)).astype(np.int64) for k in range(HASHES)]
 
 
 class Model:
@@ -85,17 +91,19 @@ class Model:
     def __init__(self, languages: list[str], known: list[np.ndarray], coverage: list[float], usual: int) -> None:
         self.languages, self.usual = languages, usual
         self.coverage = np.array(coverage)
-        self.planes = [np.zeros(SLOTS, np.uint64) for _ in range(0, len(languages), 64)]
+        most = max([len(h) for h in known], default=0) * SLOTS_PER_GRAM
+        self.size = min(SLOTS, 1 << max(most - 1, 1 << 12).bit_length())
+        self.planes = [np.zeros(self.size, np.uint64) for _ in range(0, len(languages), 64)]
         for i, h in enumerate(known):
-            for s in slots(h):
+            for s in slots(h, self.size):
                 self.planes[i // 64][s] |= np.uint64(1 << (i % 64))
-        fill = np.array([np.count_nonzero(self.planes[i // 64] & np.uint64(1 << (i % 64))) / SLOTS for i in range(len(languages))])
+        fill = np.array([np.count_nonzero(self.planes[i // 64] & np.uint64(1 << (i % 64))) / self.size for i in range(len(languages))])
         self.chance = fill**HASHES
 
     def counts(self, h: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
         """For each text and language, how many of the text's n-grams the language's filter holds."""
         out = np.zeros((n, len(self.languages)))
-        at = slots(h)
+        at = slots(h, self.size)
         for p, plane in enumerate(self.planes):
             mask = plane[at[0]]
             for s in at[1:]:
@@ -117,17 +125,19 @@ class Model:
         return names, np.where(has, np.clip(score, 0, 1), 0.0)
 
 
-def train(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Model:
+def train(rows: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
     """Learn from a bounded sample of each language; what reaches the driver is bounded by languages and MIN_SHARE."""
-    named = rows.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string"), F.lit(7)).alias("h"))
-    per = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    sizes = {r["lang"]: r["count"] for r in per}
+    tongue, body = named(lang).cast("string"), named(text).cast("string")
+    labelled = rows.where(tongue.isNotNull()).select(tongue.alias("lang"), F.coalesce(body, F.lit("")).alias("text"))
+    per = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r["lang"]: r["n"] for r in per.collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], [], [], 0)
-    # hashes are uniform, so a bound on them draws about ``sample`` rows of a language where they stand
-    share = F.create_map(*[x for n in languages for x in (F.lit(n), F.lit(int(min(1.0, sample / sizes[n]) * 2**62)))])
-    drawn = named.where((F.col("h").bitwiseAND(F.lit(2**62 - 1)) < F.element_at(share, F.col("lang")))).select("lang", "text")
+    # hashes are uniform, so a bound on them draws about ``sample`` texts of a language where they stand; copies go
+    share = per.sparkSession.createDataFrame([(n, int(min(1.0, sample / sizes[n]) * 2**62)) for n in languages], "lang string, below long")
+    met = labelled.join(F.broadcast(share) if fits_broadcast(len(languages), 128) else share, "lang")
+    drawn = met.where(F.xxhash64("text", F.lit(7)).bitwiseAND(F.lit(2**62 - 1)) < F.col("below")).select("lang", "text").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,12 +150,13 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
 
     counted = drawn.mapInArrow(count, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
     totals = counted.groupBy("lang").agg(F.sum("c").alias("total"))
-    kept = counted.join(F.broadcast(totals), "lang").where(F.col("c") >= F.greatest(F.lit(2), F.col("total") * MIN_SHARE)).toPandas()
-    known, coverage = [], []
-    for n in languages:
-        own = kept[kept["lang"] == n]
-        known.append(own["g"].to_numpy(np.int64).view(np.uint64))
-        coverage.append(max(float(own["c"].sum()) / float(own["total"].iloc[0]), 1e-3) if len(own) else 1.0)
+    totals = F.broadcast(totals) if fits_broadcast(len(languages), 128) else totals
+    kept = counted.join(totals, "lang").where(F.col("c") >= F.col("total") * MIN_SHARE).toPandas()
+    own = dict(tuple(kept.groupby("lang")))
+    none = kept.iloc[:0]
+    known = [own.get(n, none)["g"].to_numpy(np.int64).view(np.uint64) for n in languages]
+    # of a language's n-grams in the sample, the share that is learned
+    coverage = [float(own[n]["c"].sum()) / float(own[n]["total"].iloc[0]) if n in own else 1.0 for n in languages]
     return Model(languages, known, coverage, max(range(len(languages)), key=lambda i: (sizes[languages[i]], -i)))
 
 
@@ -161,8 +172,8 @@ def classify(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "d
                 names, score = m.predict(texts.slice(a, b - a).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(named(doc_id).cast("long").alias("doc_id"), named(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
-    return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
+    return F.crc32(named(doc_id).cast("string")) % 4 == 2
