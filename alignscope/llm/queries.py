@@ -29,7 +29,8 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files: a directory per source and language, and one below it for every thousand documents."""
-    path = F.concat_ws("/", "source", "lang", (F.col("doc_id") / 1000).cast("long").cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    part = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    path = F.concat_ws("/", part(F.col("source")), part(F.col("lang")), part(F.floor(F.col("doc_id") / 1000)), F.concat(part(F.col("doc_id")), F.lit(".txt")))
     return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path")))
 
 
