@@ -7,7 +7,9 @@ after its first character, and backslashes themselves are doubled; ``unescape``
 
 Defined cases: a null text is an empty text; a null role is an empty role; turns are ordered by turn (null first), then
 role, then text, so that ties and repeated rows have one order, and each of them stays a turn of its own; columns other
-than the four named ones are ignored; an empty table gives no conversations.
+than the four named ones are ignored, whatever they are called; an empty table gives no conversations. A conversation is
+one row of the result, so all its texts together, escaped, must stay below the 2 GB that a string can hold; a null
+conv_id is a conversation of its own.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import named
+
 OPEN, MARK, CLOSE = "<|im_start|>", "<|im_turn|>", "<|im_end|>"
 #: What a text must not contain unbroken (control strings of common chat templates).
 CONTROL = r"([<\[])(?=\|[A-Za-z0-9_]+\|>|/?s>|/?INST\]|</?SYS>>|/?bos>|/?eos>|start_of_turn>|end_of_turn>)"
@@ -62,8 +66,8 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     Texts are escaped row by row before the shuffle, so a long conversation costs its one task only a sort and a
     concatenation. A block is ``<|im_start|>role\\n`` + texts joined by ``<|im_turn|>`` + ``<|im_end|>\\n``.
     """
-    name, body = F.coalesce(F.col(role), F.lit("")), F.coalesce(F.col(text), F.lit(""))
-    rows = turns.select(F.col(conv_id).alias("conv_id"), F.struct(F.col(turn).alias("turn"), name.alias("role"), body.alias("text"), escape(body).alias("body")).alias("t"))
+    name, body = F.coalesce(named(role), F.lit("")), F.coalesce(named(text), F.lit(""))
+    rows = turns.select(named(conv_id).alias("conv_id"), F.struct(named(turn).alias("turn"), name.alias("role"), body.alias("text"), escape(body).alias("body")).alias("t"))
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
 
     def lead(t: Column, i: Column) -> Column:
