@@ -41,6 +41,25 @@ def test_exact_dedup(make, prose):
     assert exact_dedup.label_copies(make(["a", "b"], ids=[None, None])).count() == 2
 
 
+def test_exact_dedup_in_ranges(make, prose):
+    """With a filter that fits in no broadcast at once, rows are tested range by range; the result is the same."""
+    texts = [*ODD, *[prose(k % 200, 30) for k in range(400)]]
+    docs = make(texts)
+    want = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.label_copies(docs).collect()}
+    assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.label_copies(docs, filter_bytes=100).collect()} == want
+    kept = exact_dedup.drop_copies(docs, filter_bytes=100)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, _, _, k in want if k)
+
+
+def test_exact_dedup_shuffles_no_single_row(make, prose):
+    """On the main path, rows that the filter doesn't hold meet no exchange, and their texts aren't shuffled."""
+    docs = make([prose(k % 300, 40) for k in range(310)])
+    plan = exact_dedup.drop_copies(docs)._jdf.queryExecution().executedPlan().toString().split("Union")[1]
+    single, rest = plan.split("HashAggregate", 1)[0] if "HashAggregate" in plan else plan, plan
+    branch = plan[: plan.index("min_by")] if "min_by" in plan else single
+    assert "BroadcastHashJoin" in branch and "hashpartitioning" not in branch and "SortMergeJoin" not in plan and "min_by" in rest
+
+
 def brute_rules(text):
     t = text or ""
     w = re.findall(r"[^\x20\x09-\x0d]+", t)
@@ -191,6 +210,65 @@ def test_weak_quality(make, prose):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}
     assert weak_quality.score(docs.limit(0), weak_quality.train(docs.limit(0))).count() == 0
     assert weak_quality.keep_good(docs.limit(0)).count() == 0
+    long = make([prose(3, 60_000), " ".join(w.upper() + "!!" for w in prose(4, 60_000).split())])
+    assert {r["doc_id"]: r["kept"] for r in weak_quality.score(long, model).collect()} == {0: True, 1: False}
+
+
+def test_estimate_against_brute_force():
+    """EM document by document in plain Python gives the posteriors that EM on counts of patterns gives."""
+    import math
+    from random import Random
+
+    rng = Random(4)
+    k = len(weak_quality.LABELLERS)
+    votes = []
+    for _ in range(300):
+        good = rng.random() < 0.8
+        votes.append([0 if (x := rng.random()) < 0.1 else 1 + (x < (0.12 if good else 0.5)) for _ in range(k)])
+    number = [int("".join(map(str, v)), 3) for v in votes]
+    patterns, counts = np.unique(number, return_counts=True)
+    post, _, prior = weak_quality.estimate(patterns, counts.astype(float), rounds=25)
+    known = dict(zip(patterns.tolist(), post.tolist(), strict=True))
+    belief = [[[b * (1 + weak_quality.BELIEF_SHARE * len(votes)) for b in row]] * k for row in weak_quality.BELIEF.tolist()]
+    p = [(v.count(1) + 1) / (v.count(1) + 10 * v.count(2) + 2) for v in votes]
+    for _ in range(25):
+        theta = [[list(c) for c in belief[y]] for y in (0, 1)]
+        for v, g in zip(votes, p, strict=True):
+            for j, x in enumerate(v):
+                theta[0][j][x] += 1 - g
+                theta[1][j][x] += g
+        theta = [[[x / sum(row) for x in row] for row in c] for c in theta]
+        share = (sum(p) + 1) / (len(p) + 2)
+        p = [1 / (1 + math.exp(-(math.log(share / (1 - share)) + sum(math.log(theta[1][j][x] / theta[0][j][x]) for j, x in enumerate(v))))) for v in votes]
+    assert max(abs(known[n] - g) for n, g in zip(number, p, strict=True)) < 1e-6 and abs(prior - share) < 1e-6
+
+
+def test_scorer_against_brute_force(prose):
+    rng = np.random.default_rng(2)
+    model = weak_quality.Model(rng.normal(size=weak_quality.SHAPES + weak_quality.GRAMS + weak_quality.ECHOES), 0.1, 0.7)
+    texts = [prose(1, 30), "a", "", "ab cd ab", prose(2, 3000)]
+    for t, got in zip(texts, model.score(texts), strict=True):
+        shape, gram, _ = weak_quality.features(*weak_quality.decode([t]))
+        words = t.split()
+        echo = [sum((i >= b and words[i - b] == w) << (b - 1) for b in range(1, 5)) for i, w in enumerate(words)]
+        if not len(shape):
+            assert got == 0.7
+            continue
+        z = 0.1 + sum(model.weights[i] for i in [*shape, *gram]) / len(shape) + sum(model.weights[e + weak_quality.SHAPES + weak_quality.GRAMS] for e in echo) / len(words)
+        assert abs(1 / (1 + np.exp(-z)) - got) < 1e-4
+
+
+def test_sample_ignores_ids(make, prose, monkeypatch):
+    """Null ids or one repeated id, and copies, neither empty nor flood the sample."""
+    texts = [*[prose(k, 60) for k in range(80)], *[prose(999, 60)] * 60, *["!!! ### $$$ !!! " * 20 + str(k) for k in range(20)]]
+    drawn = []
+    fit = weak_quality.fit
+    monkeypatch.setattr(weak_quality, "fit", lambda rows, labels: drawn.append(len(rows)) or fit(rows, labels))
+    scores = []
+    for ids in (range(len(texts)), [None] * len(texts), [7] * len(texts)):
+        docs = make(texts, ids=ids)
+        scores.append(sorted(round(r["score"], 6) for r in weak_quality.score(docs, weak_quality.train(docs, sample=60, bound=50)).collect()))
+    assert scores[0] == scores[1] == scores[2] and drawn[0] == drawn[1] == drawn[2] and 10 < drawn[0] <= 50
 
 
 def test_weak_quality_against_labels(spark):
@@ -212,6 +290,35 @@ def test_language_id(make):
     assert language_id.classify(docs, language_id.train(docs.limit(0))).where("lang_pred = 'und'").count() == len(rows)
 
 
+def test_language_id_against_sets(make, prose):
+    """Predictions are those of exact sets of n-grams; texts that two languages know alike go to the first."""
+    from random import Random
+
+    rng = Random(6)
+    tongues = {f"l{k}": ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(40)] for k in range(5)}
+    rows = [(" ".join(rng.choice(w) for _ in range(25)), k) for k, w in tongues.items() for _ in range(12)]
+    rows += [("zz qq xx", "l3"), ("zz qq xx", "l4"), ("zz qq xx", None), ("zz qq xx", None)]
+    docs = make([t for t, _ in rows], langs=[k for _, k in rows])
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.classify(docs, language_id.train(docs)).collect()}
+    gram = lambda t: [f"  {t} "[i : i + 4] for i in range(len(t))]
+    sets = {k: set().union(*[gram(t) for t, n in rows if n == k]) for k in tongues}
+    for i, (t, _) in enumerate(rows):
+        hits = {k: sum(g in s for g in gram(t)) for k, s in sets.items()}
+        best = max(hits.values())
+        assert got[i] == min(k for k, h in hits.items() if h == best)
+    # copies don't change the sample, and neither do ids
+    again = make([t for t, _ in rows] * 2, langs=[k for _, k in rows] * 2, ids=[None] * (2 * len(rows)))
+    assert all((a == b).all() for a, b in zip(language_id.train(docs).planes, language_id.train(again).planes, strict=True))
+
+
+def test_many_languages(make):
+    """1,100 languages of a text each: none is dropped, and n-grams seen once are learned."""
+    word = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(3)) * 2
+    docs = make([f"{word(k)} {word(k)}x" for k in range(1100)], langs=[f"l{k:04}" for k in range(1100)])
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.classify(docs, language_id.train(docs)).collect()}
+    assert sum(got[k] == f"l{k:04}" for k in range(1100)) > 1090
+
+
 def test_language_id_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = language_id.held_out()
@@ -290,62 +397,110 @@ def test_byte_bpe(make, prose):
     assert byte_bpe.digest_documents(make(["a"]).limit(0), path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == 0
 
 
-def test_license_scan(spark, prose):
+def test_license_scan(spark, prose, monkeypatch):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     rows = [
         (0, "a/b/LICENSE", mit), (1, "a/b/c/x.txt", prose(1, 80)), (2, "a/y.txt", prose(2, 80)), (3, "a/b/c/z.txt", f"{prose(3, 60)}\n{gpl}\n{prose(4, 60)}"),
         (4, None, None), (5, "q/COPYING", gpl), (6, "q/r/s/t.txt", ""), (6, "q/r/s/t.txt", ""), (7, "", "licensed license version"),
         (8, "m/n.txt", "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License."),
-        (9, "cc/d.txt", prose(5, 90) + "\nLicensed under CC BY-NC 4.0."),
+        (9, "cc/d.txt", prose(5, 90) + "\nLicensed under CC BY-NC 4.0."), (10, "long/LICENSE", prose(6, 30_000) + "\n" + mit), (11, "long/x/e.txt", ""), (12, "pad/f.txt", " " * 9000 + "\n" + mit), (13, "pad/g.txt", None),
+        (14, "tail/h.txt", mit + "\n" + "漢字 " * 3 + " " * 5000 + prose(7, 40)), (15, "tail/i.txt", ""), (16, "tie/LICENSE", mit), (17, "tie/COPYING", gpl), (18, "tie/j.txt", ""), (None, "a/b/k.txt", ""),
     ]
-    files = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, path string, text string, n int, dir string")
+    files = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, path string, text string, `a.b` int, dir string")
     got = {}
     for r in license_scan.scan(files).collect():
         got.setdefault(r["doc_id"], []).append((r["license"], r["how"], r["license_dir"]))
     assert got[0] == [("MIT", "own", None)] and got[1] == [("MIT", "inherited", "a/b")] and got[2] == [(None, None, None)]
     assert got[3] == [("GPL-3.0", "own", None)] and got[6] == [("GPL-3.0", "inherited", "q")] * 2 and got[4] == [(None, None, None)]
     assert got[8] == [("Apache-2.0", "own", None)] and got[9] == [("CC-BY-NC-4.0", "own", None)]
+    # whole texts: a notice after 100,000 characters counts, blanks are no words, and late words are
+    assert got[10] == [("MIT", "own", None)] and got[11] == [("MIT", "inherited", "long")] and got[13] == [("MIT", "inherited", "pad")] and got[15] == [(None, None, None)]
+    assert got[18] == [("GPL-3.0", "inherited", "tie")] and got[None] == [("MIT", "inherited", "a/b")]
     assert license_scan.scan(files.limit(0)).count() == 0
+    monkeypatch.setattr(license_scan, "fits_broadcast", lambda rows, size: False)
+    assert {(r["doc_id"], r["license"]) for r in license_scan.scan(files).collect()} == {(i, v[0][0]) for i, v in got.items()}
+
+
+SHARE = {"the": 0.9, "of": 0.8, "is": 0.7, "this": 0.6, "to": 0.8, "in": 0.7, "or": 0.5, "file": 0.3, "under": 0.2, "license": 0.1, "released": 0.05, "mit": 0.04, "version": 0.02}
+
+
+def matcher(n=1000):
+    return license_scan.Matcher({w: int(s * n) for w, s in SHARE.items()}, n)
 
 
 def test_notices_with_extra_words():
     """Words around a notice don't hide it, and only shares of files count, not the number of files."""
-    share = {"the": 0.9, "of": 0.8, "is": 0.7, "this": 0.6, "file": 0.3, "under": 0.2, "license": 0.1, "released": 0.05, "mit": 0.04, "version": 0.02}
     lines = ["Foo is released under the MIT License.", "Copyright 2020 Acme. Released under the MIT License.", "This file is released under the MIT License, see below.", " ".join(["word"] * 300) + " Released under the MIT License. " + " ".join(["more"] * 300)]
     for line in [*lines, *(f"odd\n{x}\nodd" for x in lines)]:
-        got = [license_scan.Matcher({w: int(s * n) for w, s in share.items()}, n).scan(line) for n in (1000, 10_000, 10_000_000)]
+        got = [matcher(n).scan(line) for n in (1000, 10_000, 10_000_000)]
         assert got[0][0] == "MIT" and got[0][1] > 0.99 and len(set(got)) == 1
-    m = license_scan.Matcher({w: int(s * 1000) for w, s in share.items()}, 1000)
-    assert m.scan("this is the license of the version")[0] is None
-    # windows by brute force
+    assert matcher().scan("this is the license of the version")[0] is None
+
+
+GPL2 = """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version."""
+
+
+@pytest.mark.parametrize(
+    ("text", "licence"),
+    [
+        (GPL2, "GPL-2.0"),
+        (GPL2.replace("version 2", "version 3"), "GPL-3.0"),
+        (GPL2.replace("General", "Lesser General").replace("version 2", "version 2.1").replace("program", "library"), "LGPL-2.1"),
+        (GPL2.replace("General", "Affero General").replace("version 2", "version 3"), "AGPL-3.0"),
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.,\n 51 Franklin Street, Fifth Floor", "GPL-2.0"),
+        ("\n                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n", "Apache-2.0"),
+        ("This file is not licensed under the Apache License, Version 2.0.", None),
+        ("Not licensed under the MIT License.", None),
+        ("Licensed under the Apache License, Version 1.1.", None),
+        ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+        ("Licensed under\nthe\nMIT\nLicense", "MIT"),
+        (license_scan.GRANT[:90] + "\n * x\n" + license_scan.GRANT[90:], "MIT"),
+        (license_scan.REDISTRIBUTION + license_scan.CLAUSES + license_scan.BSD_DISCLAIMER, "BSD-2-Clause"),
+        (license_scan.REDISTRIBUTION + license_scan.CLAUSES + license_scan.NO_ENDORSEMENT + license_scan.BSD_DISCLAIMER, "BSD-3-Clause"),
+    ],
+)
+def test_licences_as_they_stand_in_files(text, licence):
+    around = "Some words of the file itself, of no licence.\n"
+    for t in (text, around + text + "\n" + around, text + "\n" + around * 400):
+        assert matcher().scan(t)[0] == licence
+
+
+def test_every_template_finds_itself():
+    m = matcher()
+    for name, t in license_scan.TEMPLATES:
+        assert m.scan(t)[0] == name, t
+        assert m.scan("\n".join(t.split(" ")))[0] == name, t
+
+
+def test_passages_against_brute_force():
+    """The best passage of a text is that of all lines and of all runs of words as long as a template."""
     from random import Random
 
-    rng = Random(2)
-    pool = [w for _, t in license_scan.TEMPLATES for w in license_scan.words(t)] + ["odd", "word"]
+    rng, m = Random(2), matcher()
+    pool = [w for _, t in license_scan.TEMPLATES for w in license_scan.words(t)] + ["odd", "word", "\n", "\n"] * 60
     for k in range(60):
-        line = [rng.choice(pool) for _ in range(rng.randint(1, 12))] + license_scan.words(license_scan.TEMPLATES[k % 19][1]) + [rng.choice(pool) for _ in range(rng.randint(1, 40))]
+        notice = license_scan.words(license_scan.TEMPLATES[k % len(license_scan.TEMPLATES)][1])
+        for _ in range(rng.randint(0, 3)):
+            notice[rng.randrange(len(notice))] = rng.choice(["odd", "word", "\n"])
+        text = " ".join([rng.choice(pool) for _ in range(rng.randint(1, 30))] + notice + [rng.choice(pool) for _ in range(rng.randint(1, 40))])
+        whole, ends = [], [0]
+        for line in text.split("\n"):
+            whole += license_scan.words(line)
+            ends.append(len(whole))
         most = 0.0
-        for (_, v), size in zip(m.vectors, m.sizes, strict=True):
-            for i in range(len(line) - size + 1):
-                own = m._unit(Counter(line[i : i + size]))
-                most = max(most, sum(x * own.get(w, 0.0) for w, x in v.items()))
-        assert abs(m.window(line)[0] - most) < 1e-9
+        for j, size in enumerate(m.sizes):
+            for a, b in [*zip(ends, ends[1:], strict=False), *((i, i + size) for i in range(len(whole) - size + 1))]:
+                score = m.cosine_of(j, whole[a:b])
+                if score > most and m.allowed(j, whole, a, b):
+                    most = score
+        got = m.scan(text)
+        assert abs(got[1] - most) < 1e-6 if most >= m.cosine else got[0] is None
 
 
 def test_frequencies_of_all_words(spark):
     texts = ["a b. B c2", "b\nd", None, "", "B-b"]
     df, n = license_scan.frequencies(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), "text")
     assert (df, n) == ({"a": 1, "b": 3, "c": 1, "2": 1, "d": 1}, 5)
-
-
-def test_anchors_lose_no_line():
-    """Brute force: no line without an anchor reaches the cosine."""
-    from random import Random
-
-    rng = Random(1)
-    m = license_scan.Matcher({"the": 900, "of": 800, "in": 500, "to": 700}, 1000)
-    pool = [w for _, t in license_scan.TEMPLATES for w in license_scan.words(t)]
-    for _ in range(3000):
-        line = " ".join(rng.choice(pool) for _ in range(rng.randint(1, 12)))
-        if not m.find(line):
-            assert m.best(Counter(license_scan.words(line)))[0] < license_scan.COSINE
