@@ -31,6 +31,8 @@ _SPACE = re.compile(r"\s+")
 _PARTS = re.compile(r"[a-z]+")
 
 PATH, WORDS, NUMBERS = 64, 24, 9
+#: Words from which on a block's words count as shares.
+USUAL = 24
 WIDTH = PATH + WORDS + NUMBERS
 
 
@@ -48,6 +50,7 @@ def blocks(html: str) -> list[Block]:
     text: list[str] = []
     linked = skipped = links = 0
     where: tuple[str, ...] = ()
+    paths: dict[tuple[str, ...], tuple[str, ...]] = {}  # equal paths are kept once
 
     def flush() -> None:
         nonlocal linked
@@ -72,6 +75,7 @@ def blocks(html: str) -> list[Block]:
             plain = unescape(raw)
             if not text:
                 where = tuple(n for _, names in stack for n in names)
+                where = paths.setdefault(where, where)
             text.append(plain)
             if links:
                 linked += len(plain)
@@ -129,42 +133,48 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
-_HASHED: dict[tuple[str, int], int] = {}
+_NAMES: dict[str, int] = {}
+_SAID: dict[str, int] = {}
 
 
-def _slot(word: str, size: int) -> int:
-    got = _HASHED.get((word, size))
+def _slot(word: str, size: int, known: dict[str, int]) -> int:
+    """The slot of a name or word; ``known`` remembers a bounded number of short ones."""
+    got = known.get(word)
     if got is None:
-        if len(_HASHED) > 1 << 18:
-            _HASHED.clear()
-        got = _HASHED[word, size] = zlib.crc32(word.encode("utf-8", "replace")) % size
+        got = zlib.crc32(word.encode("utf-8", "replace")) % size
+        if len(known) > 1 << 18:
+            known.clear()
+        if len(word) <= 64:
+            known[word] = got
     return got
 
 
-def vectors(page: list[Block]) -> np.ndarray:
-    """One row per block: hashed names of its path (the inner half counts twice), hashed words, and numbers."""
-    out = np.zeros((len(page), WIDTH), np.float32)
+def vectors(page: list[Block], first: int = 0, end: int | None = None) -> np.ndarray:
+    """One row per block from ``first`` to ``end``: hashed names of its path (the inner half counts twice), all its words
+    hashed (counts; of over ``USUAL`` words shares, as if there were so many), and numbers."""
+    some = page[first:end]
+    out = np.zeros((len(some), WIDTH), np.float32)
     paths: dict[tuple[str, ...], np.ndarray] = {}
-    cells: list[int] = []
     numbers = []
-    for k, b in enumerate(page):
+    for k, b in enumerate(some):
         row = paths.get(b.path)
         if row is None:
             row = np.zeros(PATH, np.float32)
             for i, name in enumerate(b.path):
-                row[_slot(name, PATH)] = 1.0
+                row[_slot(name, PATH, _NAMES)] = 1.0
                 if i >= len(b.path) - 2:
-                    row[_slot("^" + name, PATH)] += 1.0
+                    row[_slot("^" + name, PATH, _NAMES)] += 1.0
+            if len(paths) > 1 << 12:
+                paths.clear()
             paths[b.path] = row
         out[k, :PATH] = row
-        words = b.text.split(" ")
-        some = words if len(words) <= 24 else words[:12] + words[-12:]
-        cells += [k * WORDS + _slot(w, WORDS) for w in " ".join(some).lower().split(" ")]
+        words = b.text.lower().split(" ")
         n, chars = len(words), len(b.text)
+        cells = [_SAID[w] if w in _SAID else _slot(w, WORDS, _SAID) for w in words]
+        out[k, PATH : PATH + WORDS] = 0.3 * min(1.0, USUAL / n) * np.bincount(cells, minlength=WORDS)
         stops = b.text.count(".") + b.text.count(",")
-        numbers.append((n, chars, b.linked / chars, min(stops / n, 1.0), chars / n / 10, k / len(page), n < 4, b.text[-1] in ".!?", 1.0))
-    if page:
-        out[:, PATH : PATH + WORDS] = 0.3 * np.bincount(cells, minlength=len(page) * WORDS).reshape(len(page), WORDS)
+        numbers.append((n, chars, b.linked / chars, min(stops / n, 1.0), chars / n / 10, (first + k) / len(page), n < 4, b.text[-1] in ".!?", 1.0))
+    if some:
         values = np.array(numbers, np.float32)
         values[:, 0], values[:, 1] = np.log1p(values[:, 0]) / 4, np.log1p(values[:, 1]) / 6
         out[:, PATH + WORDS :] = values

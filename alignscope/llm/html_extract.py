@@ -1,13 +1,15 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page is the sequence of its leaf texts. A bidirectional LSTM in numpy reads for each leaf the hashed names on its tag
-path, hashed words and a few numbers, in both directions over the whole page, and labels every leaf as article or not,
-so each label depends on the whole document. The model is trained here, on pages made up from a grammar of layouts
+path, all its words hashed and a few numbers, in both directions over the whole page, and labels every leaf as article or
+not, so each label depends on the whole document. Pages run together as long as that takes at most ``CELLS`` blocks with
+padding; a longer page runs in stretches that hand their states on, which gives the same labels in bounded memory. The model is trained here, on pages made up from a grammar of layouts
 (``made_up``) whose labels are known; no page of the input is used for training.
 
 Defined cases: null or empty html gives an empty text; malformed markup is read as far as it goes, and unclosed elements
-end with the page; pages of any length are read whole; each page is read by itself, so ties and repeated rows need no
-rule; other columns are ignored.
+end with the page; pages of any length are read whole (memory beside the page itself and its texts: 64 bytes a block); each page is
+read by itself, so ties and repeated rows need no rule; an empty table gives no rows; other columns, whatever they are
+called, are ignored.
 """
 
 from __future__ import annotations
@@ -18,12 +20,14 @@ from random import Random
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .chunks import filled, slices
+from .common import named
 from .html_blocks import WIDTH, Block, blocks, vectors
 
 HIDDEN, PAGES, EPOCHS, BATCH, SEED = 16, 400, 7, 25, 20
+#: Blocks, with padding, that run at once.
+CELLS = 1 << 14
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 
@@ -44,12 +48,13 @@ class Labeller:
             self.w[f"b{d}"][hidden : 2 * hidden] = 1.0
         self.w |= {"out": scale(2 * hidden + width, 1), "c": np.zeros(1, np.float32)}
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: int, keep: bool) -> tuple[np.ndarray, list]:
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: int, keep: bool, state: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, list, tuple[np.ndarray, np.ndarray]]:
+        """Hidden values of one direction, what gradients need, and the state at the end."""
         steps, n, _ = x.shape
         k = self.hidden
         z = x.reshape(-1, x.shape[2]) @ self.w[f"x{d}"] + self.w[f"b{d}"]
         z = z.reshape(steps, n, 4 * k)
-        h, c = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32)
+        h, c = state or (np.zeros((n, k), np.float32), np.zeros((n, k), np.float32))
         out, tape = np.zeros((steps, n, k), np.float32), []
         for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
             a = z[t] + h @ self.w[f"h{d}"]
@@ -63,11 +68,11 @@ class Labeller:
             c = m * new + (1 - m) * c
             h = m * (o * tanh) + (1 - m) * h
             out[t] = h
-        return out, tape
+        return out, tape, (h, c)
 
     def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
-        left, a = self._run(x, mask, 0, keep)
-        right, b = self._run(x, mask, 1, keep)
+        left, a, _ = self._run(x, mask, 0, keep)
+        right, b, _ = self._run(x, mask, 1, keep)
         seen = np.concatenate([left, right, x], 2)
         return (seen @ self.w["out"])[:, :, 0] + self.w["c"], (seen, a, b)
 
@@ -98,16 +103,39 @@ class Labeller:
             g |= {f"x{d}": x.reshape(len(flat), -1).T @ flat, f"h{d}": gh, f"b{d}": flat.sum(0)}
         return loss, g
 
-    def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
+    def label(self, pages: list[list[Block]], cells: int = CELLS) -> list[np.ndarray]:
         """True for each block of each page that is article. Pages of about one length run together."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
-        order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
-        for a in range(0, len(order), 256):
-            some = order[a : a + 256]
-            x, mask = padded([pages[k] for k in some])
+        order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: -len(pages[k]))
+        a = 0
+        while a < len(order):
+            longest = len(pages[order[a]])
+            if longest > cells:
+                out[order[a]] = self._long(pages[order[a]], cells)
+                a += 1
+                continue
+            some = order[a : a + cells // longest]
+            x, mask = padded([vectors(pages[k]) for k in some])
             z, _ = self.forward(x, mask)
             for j, k in enumerate(some):
                 out[k] = z[: len(pages[k]), j] > 0
+            a += len(some)
+        return out
+
+    def _long(self, page: list[Block], stretch: int) -> np.ndarray:
+        """The same for one page: from left to right in stretches, then back, where each stretch is decided."""
+        k, n = self.hidden, len(page)
+        starts = range(0, n, stretch)
+        left, state = np.zeros((n, 1, k), np.float32), None
+        for a in starts:
+            x = vectors(page, a, a + stretch)[:, None]
+            left[a : a + stretch], _, state = self._run(x, np.ones(x.shape[:2], np.float32), 0, False, state)
+        out, state = np.zeros(n, bool), None
+        for a in reversed(starts):
+            x = vectors(page, a, a + stretch)[:, None]
+            right, _, state = self._run(x, np.ones(x.shape[:2], np.float32), 1, False, state)
+            seen = np.concatenate([left[a : a + stretch], right, x], 2)
+            out[a : a + stretch] = (seen @ self.w["out"])[:, 0, 0] + self.w["c"] > 0
         return out
 
 
@@ -225,7 +253,7 @@ class _Author:
 
     def article(self) -> tuple[str, list[bool]]:
         r = self.rng
-        opened, closed = r.choice([("<article>", "</article>")] * 5 + [("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="main-content">', "</div>"), ('<div class="post">', "</div>"), ('<section class="article-body">', "</section>"), ('<div class="entry">', "</div>"), ("<main><article>", "</article></main>")])
+        opened, closed = r.choice([("<article>", "</article>")] * 5 + [("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="main-content">', "</div>"), ('<div class="post">', "</div>"), ('<section class="article-body">', "</section>"), ('<div class="entry">', "</div>"), ("<main><article>", "</article></main>"), ("<div>", "</div>"), ("", "")])
         body, marks = "", []
         if r.random() < 0.85:
             body, marks = f"<h1>{self.words(r.randint(1, 9)).capitalize()}</h1>", [True]
@@ -310,7 +338,7 @@ def trained(pages: int = PAGES, epochs: int = EPOCHS, seed: int = SEED) -> Label
 
 def main_text(pages: list[str], model: Labeller) -> list[str]:
     parsed = [blocks(p) for p in pages]
-    labels = model.label([vectors(p) for p in parsed])
+    labels = model.label(parsed)
     return [" ".join([b.text for b, good in zip(page, label, strict=True) if good]) for page, label in zip(parsed, labels, strict=True)]
 
 
@@ -325,4 +353,4 @@ def extract(pages: DataFrame, html: str = "html", page_id: str = "page_id", url:
                 texts = main_text(raw.slice(a, b - a).to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).cast("string").alias("html")).mapInArrow(run, SCHEMA)
+    return pages.select(named(page_id).cast("long").alias("page_id"), named(url).alias("url"), named(html).cast("string").alias("html")).mapInArrow(run, SCHEMA)
