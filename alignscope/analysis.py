@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from .catalog import Experiment
 from .functions.hashing import hashed_unit
-from .model import TALLY_DEPTH, TOP_SHARE, quantile_code
+from .model import MARGINAL, TALLY_DEPTH, TOP_SHARE, quantile_code
 from .operators import labels as lb
 from .operators import quantiles, score, tally
+from .shared import sent
 
 STAGES = ("quantiles", "imgmax", "tally", "result")
 
@@ -53,27 +54,33 @@ def analyse(
     def result() -> DataFrame:
         both = image_labels.select("image", "label").unionByName(pixel_labels.select("image", "label")).distinct()
         _, truth, pairs = score.summarise(rows)
-        named = truth.join(F.broadcast(categories), "label")
-        images = both.join(F.broadcast(categories), "label").select("image", "category")
-        return score.best_label(score.score(pairs, score.activation_in(rows, images, "category"), named))
+        few = sent(categories)
+        named = truth.join(few, "label")
+        images = both.join(few, "label").select("image", "category")
+        best = score.best_label(score.score(pairs, score.activation_in(rows, images, "category"), named)).drop("rn")
+        kinds = sorted(r["category"] for r in categories.select("category").distinct().collect())  # a handful
+        return score.every_category(best, rows.where(f"unit <> {MARGINAL}"), kinds)
 
     return store.stage(blob, "result", result, force)
 
 
-def unify(pixels: DataFrame, sizes: DataFrame, names: DataFrame, min_frequency: int = 10, min_coverage: float = 0.5) -> dict[str, DataFrame]:
+def unify(pixels: DataFrame, sizes: DataFrame, names: DataFrame, min_frequency: int = 10, min_coverage: float = 0.5, images: DataFrame | None = None) -> dict[str, DataFrame]:
     """Labels of several sources as one vocabulary.
 
-    pixels: image, dataset, category, label; sizes: image, pixels; names: dataset, category, label, names array<string>.
+    pixels: image, dataset, category, label (and pixels, see ``label_statistics``); sizes: image, pixels; images: the same
+    as pixels for labels of whole images; names: dataset, category, label, names array<string>, of which empty ones and
+    "-" name nothing.
     Returns statistics per source label, the numbered vocabulary, the mapping of source labels to numbers, the dense
     codes of each category, and the images with a reproducible split.
     """
-    stats = lb.label_statistics(pixels, sizes)
+    stats = lb.label_statistics(pixels, sizes, images)
+    names = names.withColumn("names", F.filter("names", lambda n: ~n.isin("", "-")))
     key = F.concat_ws("\t", "dataset", "category", "label")
     known = stats.join(names, ["dataset", "category", "label"]).select(key.alias("key"), "names", "frequency", "coverage")
     named = stats.withColumn("key", key).join(lb.called_names(known), "key")
     total = named.groupBy("name").agg(F.sum("frequency").alias("frequency"), F.sum("coverage").alias("coverage"))
     vocabulary = lb.number_labels(lb.frequent(total, min_frequency, min_coverage), "name")
     mapping = lb.remap(named.select("dataset", "category", "label", "name"), vocabulary.select("name", "number"), ["name"])
-    per = named.groupBy("category", "name").agg(F.sum("frequency").alias("frequency"), F.sum("coverage").alias("coverage")).join(F.broadcast(vocabulary.select("name", "number")), "name")
+    per = named.groupBy("category", "name").agg(F.sum("frequency").alias("frequency"), F.sum("coverage").alias("coverage")).join(sent(vocabulary.select("name", "number")), "name")
     splits = sizes.select("image", lb.split_of(hashed_unit(F.col("image").cast("string")), [("train", 0.7), ("val", 0.3)]).alias("split"))
     return {"statistics": stats, "vocabulary": vocabulary, "mapping": mapping, "codes": lb.dense_codes(per, "name"), "images": splits}

@@ -86,30 +86,89 @@ def composed_fields(edges: list[tuple[str, str]], own: dict[str, Field]) -> dict
     return out
 
 
-def weights(spark: SparkSession, cells: int, pixels: int, center: float, step: float, names: tuple[str, str]) -> DataFrame:
-    """pixel, cell, weight: linear interpolation along one axis; outside the centres the edge value holds."""
-    rows = []
-    for p in range(pixels):
-        f = min(max((p - center) / step, 0.0), cells - 1.0)
-        low = int(f)
-        for cell in dict.fromkeys((low, min(low + 1, cells - 1))):
-            rows.append((p, cell, 1 - (f - low) if cell == low else f - low))
-    return spark.createDataFrame(rows, f"{names[0]} int, {names[1]} int, w{names[0]} double")
+def linear_weights(cells: int, pixels: int, center: float, step: float) -> np.ndarray:
+    """[pixel, cell]: linear interpolation between cells whose first lies at ``center``; outside them the edge value holds."""
+    at = np.clip((np.arange(pixels) - center) / step, 0, cells - 1)
+    return np.clip(1 - np.abs(at[:, None] - np.arange(cells)), 0, None)
 
 
-def upsample(activations: DataFrame, cells: int, pixels: int, center: float, step: float) -> DataFrame:
-    """image, unit, y, x, value on the pixel grid, from square maps of ``cells`` cells.
+def cubic_weights(cells: int, pixels: int, center: float, step: float) -> np.ndarray:
+    """[pixel, cell]: the cubic spline through all cells that has no knot at the last inner cells; clamped to the ends.
+
+    With second derivatives m, (1, 4, 1) m = 6 (1, -2, 1) v inside, and (1, -2, 1) m = 0 at both ends; three cells lie on
+    a parabola, two on a line.
+    """
+    at = np.clip((np.arange(pixels) - center) / step, 0, cells - 1)
+    if cells < 3:
+        return linear_weights(cells, pixels, center, step)
+    second = np.eye(cells)[:-2] - 2 * np.eye(cells)[1:-1] + np.eye(cells)[2:]
+    if cells == 3:
+        bend = np.repeat(second, 3, 0)
+    else:
+        inner = np.eye(cells)[:-2] + 4 * np.eye(cells)[1:-1] + np.eye(cells)[2:]
+        bend = np.linalg.solve(np.vstack([second[:1], inner, second[-1:]]), np.vstack([np.zeros(cells), 6 * second, np.zeros(cells)]))
+    k = np.minimum(at.astype(int), cells - 2)
+    t = (at - k)[:, None]
+    value = np.eye(cells)
+    return value[k] * (1 - t) + value[k + 1] * t + ((1 - t) ** 3 - (1 - t)) * bend[k] / 6 + (t**3 - t) * bend[k + 1] / 6
+
+
+def gauss_weights(cells: int, pixels: int, center: int, step: int, sigma: float, scale: float = 1.0) -> np.ndarray:
+    """[pixel, cell]: cells set on the pixel grid, all else zero, blurred by a Gaussian that is cut at four sigma."""
+    reach = int(4 * sigma + 0.5)
+    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2) if sigma > 0 else np.ones(1)
+    kernel /= kernel.sum()
+    places = center + step * np.arange(cells)
+    far = np.arange(pixels)[:, None] - places
+    inside = (np.abs(far) <= reach) & (places >= 0) & (places < pixels)
+    return np.where(inside, scale * kernel[np.clip(far + reach, 0, 2 * reach)], 0.0)
+
+
+def resample(activations: DataFrame, down: np.ndarray, across: np.ndarray) -> DataFrame:
+    """image, unit, y, x, value on the pixel grid, from the weights [pixel, cell] of both axes.
 
-    Interpolation is a join with each axis' weights (a few rows a pixel, sent to every task) and a sum.
+    A linear map of each axis, so it is a join with each axis' weights (some rows a pixel, known here and sent to every
+    task) and a sum. Pixels to which no cell contributes have no row.
     """
     spark = activations.sparkSession
-    wy = weights(spark, cells, pixels, center, step, ("py", "y"))
-    wx = weights(spark, cells, pixels, center, step, ("px", "x"))
-    met = activations.join(F.broadcast(wy), "y").join(F.broadcast(wx), "x")
+
+    def rows(matrix: np.ndarray, pixel: str, cell: str) -> DataFrame:
+        at = np.argwhere(matrix != 0)
+        return spark.createDataFrame([(int(p), int(c), float(matrix[p, c])) for p, c in at], f"{pixel} int, {cell} int, w{pixel} double")
+
+    met = activations.join(F.broadcast(rows(down, "py", "y")), "y").join(F.broadcast(rows(across, "px", "x")), "x")
     out = met.groupBy("image", "unit", "py", "px").agg(F.sum(F.col("value") * F.col("wpy") * F.col("wpx")).alias("value"))
     return out.withColumnsRenamed({"py": "y", "px": "x"})
 
 
+def upsample(activations: DataFrame, cells: int, pixels: int, center: float, step: float) -> DataFrame:
+    """Linear interpolation of square maps."""
+    w = linear_weights(cells, pixels, center, step)
+    return resample(activations, w, w)
+
+
+def upsample_cubic(activations: DataFrame, cells: int, pixels: int, center: float, step: float) -> DataFrame:
+    w = cubic_weights(cells, pixels, center, step)
+    return resample(activations, w, w)
+
+
+def upsample_gauss(activations: DataFrame, cells: int, pixels: int, field: Field) -> DataFrame:
+    """Cells scattered to the centres of their fields and blurred by a step over the root of two, whole numbers of pixels.
+
+    Values are scaled by the area of a step, so that sums over pixels stay what they were.
+    """
+    w = gauss_weights(cells, pixels, field.offset + field.size // 2, field.step, field.step // 1.414, field.step)
+    return resample(activations, w, w)
+
+
+def mask_set(activations: DataFrame, cells: int, pixels: int, field: Field, sigma: float = 0.1, threshold: float = 0.5) -> DataFrame:
+    """image, unit, y, x of pixels above a share of the largest value of all maps, after a blur by a share of the field."""
+    w = gauss_weights(cells, pixels, field.offset + field.size // 2, field.step, field.size * sigma)
+    soft = resample(activations, w, w).withColumn("value", F.round("value", 9))
+    top = max(soft.agg(F.max("value").alias("top")).first()["top"] or 0.0, 0.0)  # one number
+    return soft.where(F.col("value") > top * threshold).select("image", "unit", "y", "x")
+
+
 def nearest(at: Column, source: int, target: int) -> Column:
     """Which of ``source`` cells stands at a place of ``target`` cells, ends on ends."""
     return F.lit(0) if target == 1 else F.round(at * F.lit((source - 1) / (target - 1))).cast("int")
@@ -129,47 +188,6 @@ def crop(pixels: DataFrame, top: int, left: int, height: int, width: int) -> Dat
     return pixels.where(inside).withColumns({"y": F.col("y") - top, "x": F.col("x") - left})
 
 
-def blur(maps: np.ndarray, sigma: float) -> np.ndarray:
-    """Separable Gaussian blur of [n, y, x] maps, edges reflected."""
-    reach = max(1, int(4 * sigma + 0.5))
-    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / max(sigma, 1e-9)) ** 2)
-    kernel /= kernel.sum()
-    for axis in (1, 2):
-        wide = np.pad(maps, [(reach, reach) if a == axis else (0, 0) for a in range(3)], mode="symmetric")
-        maps = sum(k * np.take(wide, range(i, i + maps.shape[axis]), axis) for i, k in enumerate(kernel))
-    return maps
-
-
-def upsample_gauss(maps: np.ndarray, step: int, first: int, pixels: int) -> np.ndarray:
-    """Cells scattered on the pixel grid, then blurred by a step's width."""
-    out = np.zeros((len(maps), pixels, pixels))
-    at = first + step * np.arange(maps.shape[1])
-    good = (at >= 0) & (at < pixels)
-    out[:, at[good][:, None], at[good][None, :]] = maps[:, good][:, :, good]
-    return blur(out, step // 1.414)
-
-
-def bicubic(values: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Natural cubic spline through values at 0, 1, ... along the last axis, clamped to the ends."""
-    n = values.shape[-1]
-    if n < 3:
-        return np.apply_along_axis(lambda v: np.interp(places, np.arange(n), v), -1, values)
-    m = np.zeros_like(values, dtype=float)
-    system = 4 * np.eye(n - 2) + np.eye(n - 2, k=1) + np.eye(n - 2, k=-1)
-    bend = 6 * (values[..., :-2] - 2 * values[..., 1:-1] + values[..., 2:])
-    m[..., 1:-1] = np.linalg.solve(system, np.moveaxis(bend, -1, 0).reshape(n - 2, -1)).reshape(n - 2, *values.shape[:-1]).transpose(*range(1, values.ndim), 0)
-    p = np.clip(places, 0, n - 1)
-    k = np.minimum(p.astype(int), n - 2)
-    t = p - k
-    a, b = values[..., k], values[..., k + 1]
-    return a * (1 - t) + b * t + ((1 - t) ** 3 - (1 - t)) * m[..., k] / 6 + (t**3 - t) * m[..., k + 1] / 6
-
-
-def upsample_cubic(maps: np.ndarray, pixels: int, center: float, step: float) -> np.ndarray:
-    places = (np.arange(pixels) - center) / step
-    return np.swapaxes(bicubic(np.swapaxes(bicubic(maps, places), 1, 2), places), 1, 2)
-
-
 def scale_image(picture: np.ndarray, height: int, width: int, crop: bool = False) -> np.ndarray:
     """An [y, x, channel] picture resized by area averages; with ``crop`` the largest centred window of the new shape is taken first."""
     h, w = picture.shape[:2]

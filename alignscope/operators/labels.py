@@ -7,12 +7,23 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import numbered, sent
 
-def label_statistics(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
-    """pixels: image, dataset, category, label; sizes: image, pixels. Images with a label, and their pixel shares summed."""
-    counts = pixels.groupBy("image", "dataset", "category", "label").agg(F.count(F.lit(1)).alias("c"))
-    shares = counts.join(sizes, "image")
-    return shares.groupBy("dataset", "category", "label").agg(F.count(F.lit(1)).alias("frequency"), F.sum(F.col("c") / F.col("pixels").cast("double")).alias("coverage"))
+
+def label_statistics(pixels: DataFrame, sizes: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
+    """Images with a label, and their pixel shares summed: dataset, category, label, frequency, coverage.
+
+    pixels: image, dataset, category, label, and pixels (of the image) where they are known on the way, so that no join is
+    needed; else sizes: image, pixels. images: image, dataset, category, label for labels of whole images, which cover
+    all of them.
+    """
+    known = pixels if "pixels" in pixels.columns else pixels.join(sizes, "image")
+    share = (F.count(F.lit(1)) / F.first("pixels").cast("double")).alias("share")
+    shares = known.groupBy("image", "dataset", "category", "label").agg(share).drop("image")
+    if images is not None:
+        whole = images.select("image", "dataset", "category", "label").distinct()
+        shares = shares.unionByName(whole.select("dataset", "category", "label", F.lit(1.0).alias("share")))
+    return shares.groupBy("dataset", "category", "label").agg(F.count(F.lit(1)).alias("frequency"), F.sum("share").alias("coverage"))
 
 
 def frequent(stats: DataFrame, min_frequency: int, min_coverage: float) -> DataFrame:
@@ -20,11 +31,8 @@ def frequent(stats: DataFrame, min_frequency: int, min_coverage: float) -> DataF
 
 
 def number_labels(stats: DataFrame, name: str = "label") -> DataFrame:
-    """Dense numbers from 1 by falling frequency, then coverage, then name.
-
-    A vocabulary is small (it is filtered before), so one ordering task is enough; the window says so on purpose.
-    """
-    return stats.withColumn("number", F.row_number().over(Window.orderBy(F.desc("frequency"), F.desc("coverage"), F.col(name))))
+    """Dense numbers from 1 by falling frequency, then coverage, then name."""
+    return numbered(stats, "number", F.desc("frequency"), F.desc("coverage"), F.col(name))
 
 
 def dense_codes(stats: DataFrame, name: str = "label") -> DataFrame:
@@ -48,13 +56,13 @@ def invert(mapping: DataFrame, key: str, value: str) -> DataFrame:
 
 def remap(rows: DataFrame, mapping: DataFrame, on: list[str], number: str = "number") -> DataFrame:
     """Left join to new numbers; what isn't mapped is background."""
-    return rows.join(F.broadcast(mapping), on, "left").withColumn(number, F.coalesce(number, F.lit(0)))
+    return rows.join(sent(mapping), on, "left").withColumn(number, F.coalesce(number, F.lit(0)))
 
 
 def fill_dense(mapping: DataFrame, key: str, last: int, **defaults: object) -> DataFrame:
     """A row for every number from 0 to ``last``, with defaults where there was none."""
     spark = mapping.sparkSession
-    full = spark.range(last + 1).select(F.col("id").cast(dict(mapping.dtypes)[key]).alias(key)).join(F.broadcast(mapping), key, "left")
+    full = spark.range(last + 1).select(F.col("id").cast(dict(mapping.dtypes)[key]).alias(key)).join(sent(mapping), key, "left")
     return full.select(key, *[F.coalesce(F.col(c), F.lit(defaults[c])).alias(c) if c in defaults else F.col(c) for c in mapping.columns if c != key])
 
 

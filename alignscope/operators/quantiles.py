@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import QUANTILE_COUNT, TOP_SHARE, threshold_rank
+from ..shared import sent
 
 #: Values kept by a sketch: at 24576 the tail of 0.5 % is right to about 0.1 %.
 SKETCH_K = 24576
@@ -50,10 +51,10 @@ def integrate(values: DataFrame, fun, by: str = "unit", value: str = "value") ->
 
 
 def masks(activations: DataFrame, limits: DataFrame) -> DataFrame:
-    """Pixels strictly above their unit's threshold. The thresholds are one row a unit, so they go to every task."""
-    return activations.join(F.broadcast(limits), "unit").where(F.col("value") > F.col("threshold")).drop("threshold", "value")
+    """Pixels strictly above their unit's threshold. The thresholds are one row a unit and go to every task."""
+    return activations.join(sent(limits), "unit").where(F.col("value") > F.col("threshold")).drop("threshold", "value")
 
 
 def candidate_units(maxima: DataFrame, limits: DataFrame) -> DataFrame:
     """(image, unit) pairs that can have a masked pixel at all: interpolation never exceeds the largest value."""
-    return maxima.join(F.broadcast(limits), "unit").where(F.col("value") > F.col("threshold")).select("image", "unit")
+    return maxima.join(sent(limits), "unit").where(F.col("value") > F.col("threshold")).select("image", "unit")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import MARGINAL, TINY
+from ..shared import sent
 
 
 def summarise(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -29,7 +30,7 @@ def iou(intersect: Column, activation: Column, truth: Column) -> Column:
 
 def score(pairs: DataFrame, activations: DataFrame, labels: DataFrame) -> DataFrame:
     """pairs (unit, label, intersect), activations (unit, category, activation), labels (label, category, truth)."""
-    met = pairs.join(F.broadcast(labels), "label").join(activations, ["unit", "category"])
+    met = pairs.join(sent(labels), "label").join(activations, ["unit", "category"])
     return met.withColumn("iou", F.round(iou(F.col("intersect"), F.col("activation"), F.col("truth")), 9))
 
 
@@ -42,6 +43,12 @@ def best_label(scored: DataFrame) -> DataFrame:
     return first_in(scored, ["unit", "category"], F.desc("iou"), F.col("label"))
 
 
+def every_category(best: DataFrame, units: DataFrame, categories: list[str]) -> DataFrame:
+    """Best labels with a row for every unit and category; without overlap the label is null and the score 0."""
+    grid = units.select("unit").distinct().withColumn("category", F.explode(F.array(*map(F.lit, categories))))
+    return grid.join(best, ["unit", "category"], "left").withColumn("iou", F.coalesce("iou", F.lit(0.0)))
+
+
 def best_category(best: DataFrame) -> DataFrame:
     """One category per unit: the highest score, of equals the last category."""
     return first_in(best, ["unit"], F.desc("iou"), F.desc("category"))

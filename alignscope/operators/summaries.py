@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import DETECTOR_SCORE
+from ..shared import numbered, sent
 
 
 def mode(rows: DataFrame, key: str, item: str, at: str) -> DataFrame:
@@ -27,7 +28,7 @@ def fractions(results: DataFrame, threshold: float, by: str = "network") -> Data
     good = F.sum((F.col("score") >= threshold).cast("long"))
     units = results.groupBy(by).agg(F.count(F.lit(1)).alias("units"))
     found = results.rollup(by, "category").agg(good.alias("good"), F.grouping(by).alias("g")).where("g = 0").drop("g")
-    return found.join(F.broadcast(units), by).select(by, "category", "good", F.round(F.col("good") / F.col("units"), 9).alias("fraction"))
+    return found.join(sent(units), by).select(by, "category", "good", F.round(F.col("good") / F.col("units"), 9).alias("fraction"))
 
 
 def detectors(results: DataFrame, threshold: float, by: str = "network") -> DataFrame:
@@ -39,11 +40,9 @@ def detectors(results: DataFrame, threshold: float, by: str = "network") -> Data
 
 def report_order(results: DataFrame, threshold: float = DETECTOR_SCORE) -> DataFrame:
     """Order of a report: categories by their units, labels by units then score, units by score; the rest by score."""
-    from pyspark.sql import Window
-
     histogram = label_histogram(results, threshold).select("label", F.col("category").alias("label_category"), "units", "max_score")
     sizes = results.where(F.col("score") >= threshold).groupBy("category").agg(F.count(F.lit(1)).alias("category_units"))
     met = results.join(histogram, "label", "left").join(sizes.withColumnRenamed("category", "label_category"), "label_category", "left")
     low = F.col("score") < threshold
     keys = [low.cast("int"), *[F.when(~low, k) for k in (-F.col("category_units"), F.col("label_category"), -F.col("units"), -F.col("max_score"), F.col("label"))], -F.col("score"), F.col("unit")]
-    return met.withColumn("place", F.row_number().over(Window.orderBy(*keys))).select("place", "unit", "label", "category", "score")
+    return numbered(met, "place", *keys).select("place", "unit", "label", "category", "score")

@@ -54,10 +54,10 @@ def truncate(rows: DataFrame, depth: int = TALLY_DEPTH, pixels: int | None = Non
 
 
 def self_tally(masks: DataFrame) -> DataFrame:
-    """u1 <= u2 and the pixels that both units mask."""
+    """image, u1 <= u2, n: the pixels of each image that both units mask."""
     a = masks.select("image", "y", "x", F.col("unit").alias("u1"))
     b = masks.select("image", "y", "x", F.col("unit").alias("u2"))
-    return a.join(b, ["image", "y", "x"]).where("u1 <= u2").groupBy("u1", "u2").agg(F.count(F.lit(1)).alias("n"))
+    return a.join(b, ["image", "y", "x"]).where("u1 <= u2").groupBy("image", "u1", "u2").agg(F.count(F.lit(1)).alias("n"))
 
 
 def pixel_row_wins(rows: DataFrame) -> DataFrame:

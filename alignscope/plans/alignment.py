@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..model import threshold_rank
 from ..operators import quantiles, score, tally
+from ..shared import sent
+from ..sources import tensors
 from . import fixtures as fx
 from .fixtures import sql
 from .registry import query
@@ -20,7 +22,9 @@ def _ints(df: DataFrame) -> DataFrame:
 
 @query("src_mmap", sql("act", "select cast(image as bigint) as image, unit, y, x, value from act"))
 def src_mmap(spark, d):
-    return fx.activations(spark, d)
+    """The embeddings as the bytes of a flat tensor, and these unpacked."""
+    flat = tensors.pack_flat(fx.table(spark, d, "embeddings"), "vec_id", "embedding")
+    return tensors.unpack_flat(flat, (None, fx.UNITS, fx.WIDTH, fx.WIDTH))
 
 
 @query("agg_quantile_grid", sql("act", "select unit, cast(k - 1 as int) as idx, round(grid[22 - k], 6) as value from (select unit, quantile_cont(value, [i / 20.0 for i in range(21)]) as grid from act group by unit), range(1, 22) t(k)"))
@@ -34,12 +38,12 @@ def quantile_stream(spark, d):
     return quantiles.thresholds(rows, "flag").withColumn("threshold", F.round("threshold", 4))
 
 
-@query("agg_quantile_sketch")
+@query("agg_quantile_sketch", sql("thr", "select unit, round(threshold, 6) as exact, true as close from thr"))
 def agg_quantile_sketch(spark, d):
-    """Sketched thresholds next to exact ones, with the sketch's error as a share of the unit's range."""
+    """Exact thresholds, and whether the sketched ones are within a thousandth of the unit's range."""
     act = fx.activations(spark, d)
     met = quantiles.sketch_thresholds(act).withColumnRenamed("threshold", "sketched").join(quantiles.thresholds(act), "unit").join(quantiles.extremes(act), "unit")
-    return met.select("unit", "sketched", F.col("threshold").alias("exact"), (F.abs(F.col("sketched") - F.col("threshold")) / (F.col("max_value") - F.col("min_value"))).alias("error"))
+    return met.select("unit", F.round("threshold", 6).alias("exact"), (F.abs(F.col("sketched") - F.col("threshold")) <= 0.001 * (F.col("max_value") - F.col("min_value"))).alias("close"))
 
 
 @query("agg_minmax", sql("act", "select unit, min(value) as min_value, max(value) as max_value from act group by unit"))
@@ -99,7 +103,7 @@ def top_tally(spark, d):
     return _ints(tally.truncate(tally.tally(fx.wide_masks(spark, d), fx.pixel_labels(spark, d)), depth=8))
 
 
-@query("agg_self_tally", sql("m2", "select a.unit as u1, b.unit as u2, count(*) as n from m2 a join m2 b on a.image = b.image and a.y = b.y and a.x = b.x and a.unit <= b.unit group by all"))
+@query("agg_self_tally", sql("m2", "select cast(a.image as bigint) as image, a.unit as u1, b.unit as u2, count(*) as n from m2 a join m2 b on a.image = b.image and a.y = b.y and a.x = b.x and a.unit <= b.unit group by all"))
 def agg_self_tally(spark, d):
     return tally.self_tally(fx.wide_masks(spark, d))
 
@@ -107,12 +111,15 @@ def agg_self_tally(spark, d):
 @query("jn_self", "select a.s as u1, b.s as u2, count(*) as n from (select distinct l_orderkey as k, l_suppkey % 8 as s from lineitem) a join (select distinct l_orderkey as k, l_suppkey % 8 as s from lineitem) b on a.k = b.k and a.s <= b.s group by all")
 def jn_self(spark, d):
     rows = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("image"), (F.col("l_suppkey") % 8).alias("unit"), F.lit(0).alias("y"), F.lit(0).alias("x")).distinct()
-    return tally.self_tally(rows)
+    return tally.self_tally(rows).groupBy("u1", "u2").agg(F.sum("n").alias("n"))
 
 
-@query("tally_large", "select cast(l_suppkey % 8 as int) as unit, cast(l_partkey % 16 as int) as label, count(*) as n from (select l_orderkey, l_suppkey, l_partkey from lineitem) group by all")
+@query("tally_large", "select unit, label, count(*) as n from (select distinct l_orderkey as k, l_linenumber as y, cast(l_suppkey % 8 as int) as unit from lineitem) a join (select l_orderkey as k, l_linenumber as y, cast(l_partkey % 16 as int) as label from lineitem) b on a.k = b.k and a.y = b.y group by all")
 def tally_large(spark, d):
-    return fx.table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 8).cast("int").alias("unit"), (F.col("l_partkey") % 16).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    """Lines of an order are pixels with units and a bag of labels: tallied by order, then summed."""
+    rows = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("y"), F.lit(0).alias("x"), (F.col("l_suppkey") % 8).cast("int").alias("unit"), (F.col("l_partkey") % 16 + 1).cast("int").alias("label"))
+    rows = tally.tally(rows.select("image", "y", "x", "unit").distinct(), rows.select("image", "y", "x", "label")).where("unit <> -1 and label <> -1")
+    return rows.groupBy("unit", (F.col("label") - 1).alias("label")).agg(F.sum("n").alias("n"))
 
 
 @query("agg_reduce", "select l_returnflag as key, round(sum(l_quantity), 4) as total, min(l_quantity) as low, max(l_quantity) as high from lineitem group by all")
@@ -173,9 +180,11 @@ def agg_iou(spark, d):
     return scored(spark, d)
 
 
-@query("agg_best_label", sql("bl", "select unit, category, label, truth, activation, \"intersect\", iou from bl"))
+@query("agg_best_label", sql("bl act", "select k.unit as unit, k.category as category, label, truth, activation, \"intersect\", coalesce(iou, 0) as iou from (select unit, category from (select distinct unit from act), (select unnest(['c0', 'c1', 'c2']) as category)) k left join bl on k.unit = bl.unit and k.category = bl.category"))
 def agg_best_label(spark, d):
-    return score.best_label(scored(spark, d))
+    """With a category that no image has: its label is null and its score 0."""
+    best = score.best_label(scored(spark, d)).drop("rn")
+    return score.every_category(best, fx.activations(spark, d), ["c0", "c1", "c2"]).select("unit", "category", "label", "truth", "activation", "intersect", "iou")
 
 
 @query("agg_best_category", sql("bl", "select unit, category, label, iou from (select *, row_number() over (partition by unit order by iou desc, category desc) as rn from bl) where rn = 1"))
@@ -191,7 +200,7 @@ def core_best_label(spark, d):
     act = counts.groupBy("unit").agg(F.sum("n").alias("act"))
     truth = labels.groupBy("label").agg((F.count(F.lit(1)) * fx.PIXELS).alias("truth"))
     pairs = counts.join(labels, "image").groupBy("unit", "label").agg(F.sum("n").alias("intersect"))
-    met = pairs.join(F.broadcast(act), "unit").join(truth, "label")
+    met = pairs.join(sent(act), "unit").join(truth, "label")
     met = met.withColumn("iou", F.round(score.iou(F.col("intersect"), F.col("act"), F.col("truth")), 9))
     return score.first_in(met, ["unit"], F.desc("iou"), F.col("label")).select((F.col("unit") + 1).alias("unit"), "label", "truth", "act", "intersect", "iou")
 

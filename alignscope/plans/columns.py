@@ -89,10 +89,10 @@ def math_interp(spark, d):
     return fx.table(spark, d, "events").groupBy("event_type").agg(q(0.1).alias("q10"), q(0.37).alias("q37"), q(0.995).alias("q995"))
 
 
-@query("codec_rg", "select l_orderkey, l_linenumber, l_partkey, cast(l_partkey % 256 as int) as r, cast(l_partkey // 256 as int) as g, cast(l_partkey as int) as back from lineitem where l_partkey < 65536")
+@query("codec_rg", "select l_orderkey, l_linenumber, l_partkey, cast(l_partkey % 256 as int) as r, cast(l_partkey // 256 as int) as g, cast(l_partkey as int) as back from lineitem")
 def codec_rg(spark, d):
     r, g = codec.red(F.col("l_partkey")), codec.green(F.col("l_partkey"))
-    return fx.table(spark, d, "lineitem").where("l_partkey < 65536").select("l_orderkey", "l_linenumber", "l_partkey", r.alias("r"), g.alias("g"), codec.label_of(r, g).alias("back"))
+    return fx.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", r.alias("r"), g.alias("g"), codec.label_of(r, g).alias("back"))
 
 
 @query("agg_mean_pixel", "select user_id % 3 as channel, round(avg(value), 6) as mean from events group by all")

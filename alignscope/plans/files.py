@@ -2,29 +2,23 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import Experiment
 from ..analysis import analyse, unify
 from ..functions.codec import decode_labels, encode_labels
+from ..model import threshold_rank
 from ..operators import geometry, quantiles, report, summaries, tally
+from ..shared import sent
 from ..sources import model, raw, tables, tensors
 from ..streaming.quantiles import SketchStore
 from . import fixtures as fx
-from .fixtures import sql
+from .fixtures import scratch, sql
 from .registry import query
 from .summary import _HIST, T
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    return f"{named}/alignscope-{uuid.uuid4().hex}/{name}"
-
-
 @query("src_csv", "select n_nationkey, n_name, n_regionkey from nation")
 def src_csv(spark, d):
     path = scratch(spark, "nation.csv")
@@ -222,7 +216,23 @@ def snk_png_graph(spark, d):
     return total.select("network", F.round(F.col("fraction") * 1000).cast("int").alias("permille"))
 
 
-@query("pipeline_analysis")
+#: The best label of each unit and category, over labels of images and of pixels, at the top tenth of activations.
+_ANALYSIS = """, t3 as (select unit, round(quantile_cont(value, 1 - 100 / 999.0), 9) as threshold from act group by unit),
+m3 as (select image, act.unit as unit, y, x from act join t3 on act.unit = t3.unit where value > threshold),
+r as (select image, unit, -1 as label, count(*) as n from m3 group by all union select distinct image, -1, label, 16 from img where label <> 0 union select image, -1, label, count(*) from pl group by all
+      union select m3.image, unit, label, count(*) from m3 join img on m3.image = img.image where label <> 0 group by all union select m3.image, unit, label, count(*) from m3 join pl on m3.image = pl.image and m3.y = pl.y and m3.x = pl.x group by all),
+c as (select distinct label, category from img union select distinct label, 'pixel' from pl),
+ic as (select distinct image, category from img union select distinct image, 'pixel' from pl),
+tr as (select label, category, cast(sum(n) as bigint) as truth from r join c using (label) where unit = -1 group by all),
+ac as (select unit, category, cast(sum(n) as bigint) as activation from r join ic using (image) where label = -1 group by all),
+it as (select unit, label, cast(sum(n) as bigint) as i from r where unit <> -1 and label <> -1 group by all),
+s3 as (select unit, category, label, truth, activation, i as "intersect", round(i / (activation + truth - i + 1e-20), 9) as iou from it join tr using (label) join ac using (unit, category)),
+b3 as (select * exclude rn from (select *, row_number() over (partition by unit, category order by iou desc, label) as rn from s3) where rn = 1)
+select k.unit as unit, k.category as category, label, truth, activation, "intersect", coalesce(iou, 0) as iou
+from (select unit, category from (select distinct unit from r where unit <> -1), (select distinct category from c)) k left join b3 on k.unit = b3.unit and k.category = b3.category"""
+
+
+@query("pipeline_analysis", sql("act img pl", "").rstrip() + _ANALYSIS)
 def pipeline_analysis(spark, d):
     """All stages with a store: quantiles, maxima, tally, result."""
     store = Experiment(spark, scratch(spark, "experiment"))
@@ -231,72 +241,68 @@ def pipeline_analysis(spark, d):
     return analyse(store, "embeddings", fx.activations(spark, d), images, pixels, categories, fx.PIXELS, share=0.1)
 
 
-@query("pipeline_unify")
+@query("pipeline_unify", sql("tok siz", "").rstrip() + """, s as (select 'set' || (image % 5) as dataset, category, label, count(*) as frequency, sum(c / cast(pixels as double)) as coverage
+from (select image, category, label, count(*) as c from tok group by all) join siz using (image) group by all)
+select row_number() over (order by frequency desc, coverage desc, name) as number, name, frequency, coverage
+from (select label as name, cast(sum(frequency) as bigint) as frequency, round(sum(coverage), 6) as coverage from s where label <> '-' group by label having sum(frequency) >= 10 and sum(coverage) >= 0.5)""")
 def pipeline_unify(spark, d):
     """Words of documents as labels of five sources, unified by name."""
     words = fx.tokens(spark, d).withColumn("dataset", F.concat(F.lit("set"), F.col("image") % 5))
     names = words.select("dataset", "category", "label").distinct().withColumn("names", F.array("label"))
-    sizes = words.groupBy("image").agg(F.count(F.lit(1)).alias("pixels"))
-    return unify(words, sizes, names)["vocabulary"].select("number", "name", "frequency", F.round("coverage", 6).alias("coverage"))
+    return unify(words, words.select("image", "pixels").distinct(), names)["vocabulary"].select("number", "name", "frequency", F.round("coverage", 6).alias("coverage"))
 
 
-@query("streaming_quantiles")
+@query("streaming_quantiles", "select event_type, round(quantile_cont(value, 1 - 100 / 999.0), 6) as exact, true as close from events group by all")
 def streaming_quantiles(spark, d):
-    """Thresholds from the merged sketches of micro-batches of events."""
+    """Exact thresholds, and whether those from merged sketches of micro-batches have the right share of values below them, to a
+    thousandth and one value."""
     values = fx.table(spark, d, "events").select("event_type", F.col("value").cast("double").alias("value"))
     source, store = scratch(spark, "stream"), SketchStore(scratch(spark, "sketches"), "event_type", k=4096)
     values.repartition(3).write.parquet(source)
     stream = spark.readStream.schema(values.schema).option("maxFilesPerTrigger", 1).parquet(source)
     store.follow(stream, scratch(spark, "offsets")).awaitTermination()
-    return store.thresholds(spark, 0.1)
+    rank = threshold_rank(0.1)
+    below = F.avg((F.col("value") <= F.col("threshold")).cast("int"))
+    met = values.join(sent(store.thresholds(spark, 0.1)), "event_type").groupBy("event_type")
+    return met.agg(F.round(F.percentile("value", F.lit(rank)), 6).alias("exact"), (F.abs(below - rank) <= 0.001 + 1 / F.count("value")).alias("close"))
 
 
-@query("ten_upsample_cubic")
-def ten_upsample_cubic(spark, d):
-    return _upsampled(spark, d, lambda m: geometry.upsample_cubic(m, 16, 2, 4))
-
+def _axes(weights: str, pixels: int) -> str:
+    """DuckDB SQL of upsampled maps: ``weights`` is the weight of cell c at pixel p."""
+    return f"w as (select p, c, {weights} as w from (select cast(p as int) as p, cast(c as int) as c from range({pixels}) s(p), range(4) t(c))), up as (select image, unit, a.p as y, b.p as x, sum(value * a.w * b.w) as value from act join w a on act.y = a.c join w b on act.x = b.c group by all)"
 
-@query("ten_upsample_gauss")
-def ten_upsample_gauss(spark, d):
-    return _upsampled(spark, d, lambda m: geometry.upsample_gauss(m, 4, 2, 16))
 
+def _extremes(up: DataFrame) -> DataFrame:
+    return up.groupBy("image", "unit").agg(F.round(F.max("value"), 6).alias("highest"), F.round(F.min("value"), 6).alias("lowest"), F.round(F.avg("value"), 6).alias("average"))
 
-def _upsampled(spark, d, work):
-    """Per image and unit the largest and the mean value after upsampling with a numpy kernel in Arrow batches."""
-    packed = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("image"), "embedding")
 
-    def run(frames):
-        import numpy as np
-        import pandas as pd
+_SAME_EXTREMES = "select cast(image as bigint) as image, unit, round(max(value), 6) as highest, round(min(value), 6) as lowest, round(avg(value), 6) as average from up group by all"
+#: The polynomial of degree three through the four cells, which has the ends of the pixels' range as its bounds.
+_CUBIC = " * ".join(f"case when c = {j} then 1 else (least(greatest((p - 2) / 4.0, 0.0), 3.0) - {j}) / (c - {j}) end" for j in range(4))
 
-        for f in frames:
-            maps = np.stack(f["embedding"].to_list()).reshape(-1, fx.WIDTH, fx.WIDTH).astype(float)
-            out = work(maps)
-            yield pd.DataFrame({"image": np.repeat(f["image"].to_numpy(), fx.UNITS), "unit": np.tile(np.arange(fx.UNITS, dtype=np.int32), len(f)), "highest": out.max((1, 2)), "average": out.mean((1, 2))})
 
-    return packed.mapInPandas(run, "image long, unit int, highest double, average double")
+@query("ten_upsample_cubic", sql("act", "").rstrip() + f", {_axes(_CUBIC, 16)} {_SAME_EXTREMES}")
+def ten_upsample_cubic(spark, d):
+    """Per image and unit the largest, least and mean value of cubic maps."""
+    return _extremes(geometry.upsample_cubic(fx.activations(spark, d), 4, 16, 2, 4))
 
 
-@query("ten_mask_blur")
-def ten_mask_blur(spark, d):
-    """Masks blurred by half a pixel and cut at half of their largest value: masked pixels per unit."""
-    from ..operators.geometry import blur
+def _gauss(center: int, sigma: float, reach: int, scale: int) -> str:
+    total = f"(select sum(exp(-0.5 * (k / {sigma}) ** 2)) from range(-{reach}, {reach + 1}) u(k))"
+    return f"case when abs(p - {center} - 4 * c) <= {reach} then {scale} * exp(-0.5 * ((p - {center} - 4 * c) / {sigma}) ** 2) / {total} else 0 end"
 
-    cells = fx.wide_masks(spark, d).groupBy("image", "unit").agg(F.collect_list(F.struct("y", "x")).alias("cells"))
 
-    def run(frames):
-        import numpy as np
-        import pandas as pd
+@query("ten_upsample_gauss", sql("act", "").rstrip() + f", {_axes(_gauss(2, 2.0, 8, 4), 16)} {_SAME_EXTREMES}")
+def ten_upsample_gauss(spark, d):
+    """The same of blurred maps: fields of 4 pixels, 4 apart."""
+    return _extremes(geometry.upsample_gauss(fx.activations(spark, d), 4, 16, geometry.Field(0, 4, 4)))
 
-        for f in frames:
-            maps = np.zeros((len(f), fx.WIDTH, fx.WIDTH))
-            for i, cs in enumerate(f["cells"]):
-                for c in cs:
-                    maps[i, c["y"], c["x"]] = 1
-            soft = blur(maps, 0.5)
-            yield pd.DataFrame({"image": f["image"], "unit": f["unit"], "n": (soft >= 0.5 * soft.max((1, 2), keepdims=True)).sum((1, 2))})
 
-    return cells.mapInPandas(run, "image long, unit int, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+@query("ten_mask_blur", sql("act", "").rstrip() + f", {_axes(_gauss(4, 0.8, 3, 1), 20)} select unit, count(*) as n from up where round(value, 9) > (select greatest(max(round(value, 9)), 0) * 0.5 from up) group by unit")
+def ten_mask_blur(spark, d):
+    """Fields of 8 pixels, 4 apart: masked pixels per unit."""
+    masks = geometry.mask_set(fx.activations(spark, d), 4, 20, geometry.Field(0, 8, 4))
+    return masks.groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("ten_normalize_label", sql("img pl", "select cast(image as bigint) as image, layer, count(*) as pixels from (select img.image as image, 0 as layer from img, range(16) union all select image, 1 from pl) group by all"))
@@ -306,7 +312,15 @@ def ten_normalize_label(spark, d):
     return whole.select("image", "layer").unionByName(fx.pixel_labels(spark, d).select("image", F.lit(1).alias("layer"))).groupBy("image", "layer").agg(F.count(F.lit(1)).alias("pixels"))
 
 
-@query("golden_tally")
+_GOLDEN = """with grid as (select i // 10 as y, i % 10 as x from range(100) t(i)),
+m as (select cast(u as int) as unit, y, x from grid, range(8) t(u) where x * x + y * y <= 4 * u * u),
+l as (select cast(k as int) as label, y, x from grid, range(6) t(k) where x > 2 * k),
+r as (select unit, -1 as label, count(*) as n from m group by unit union all select -1, label, count(*) from l group by label union all select unit, label, count(*) from m join l using (y, x) group by all),
+o as (select *, unit <> -1 and label <> -1 and unit not in (select unit from r where label = -1 and n = 100) and label not in (select label from r where unit = -1 and n = 100) as late from r)
+select unit, label, n from (select *, row_number() over (order by late, n desc, unit, label) as rn from o) where rn <= 36"""
+
+
+@query("golden_tally", _GOLDEN)
 def golden_tally(spark, d):
     """Eight discs against six half planes on a 10 x 10 grid, cut to 36 rows."""
     grid = spark.range(100).select((F.col("id") / 10).cast("int").alias("y"), (F.col("id") % 10).cast("int").alias("x"), F.lit(0).cast("long").alias("image"))

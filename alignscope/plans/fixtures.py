@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import quantiles
+from ..shared import shared_folder
 from ..sources.tensors import explode_packed
 
 #: An image is a row of embeddings: 4 units on a grid of 4 x 4.
@@ -58,6 +61,11 @@ def sql(names: str, body: str) -> str:
     return "with " + ", ".join(f"{n} as ({_SQL[n]})" for n in order) + " " + body
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    return f"{shared_folder(spark)}/alignscope-{uuid.uuid4().hex}/{name}"
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -94,5 +102,7 @@ def results(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
-    words = F.explode(F.split("text", r"\s+")).alias("w")
-    return table(spark, d, "documents").select(F.col("doc_id").alias("image"), F.col("source").alias("dataset"), F.col("lang").alias("category"), words).where("w <> ''").select("image", "dataset", "category", F.lower("w").alias("label"))
+    """image, dataset, category, label, pixels: every word of a document as a labelled pixel, with the image's size."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("image"), F.col("source").alias("dataset"), F.col("lang").alias("category"), words.alias("words"))
+    return rows.select("image", "dataset", "category", F.size("words").alias("pixels"), F.explode("words").alias("w")).select("image", "dataset", "category", F.lower("w").alias("label"), "pixels")

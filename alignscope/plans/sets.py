@@ -101,9 +101,9 @@ def ten_scale_image(spark, d):
     return packed.mapInPandas(run, "image long, unit int, y int, x int, value double").withColumn("value", F.round("value", 5) + 0.0)
 
 
-@query("ten_tile", sql("act", "select unit, cast(y + (k // 3) * 7 as int) as y, cast(x + (k % 3) * 7 as int) as x, value from (select *, dense_rank() over (partition by unit order by image) - 1 as k from act where image < 9)"))
+@query("ten_tile", sql("act", "select unit, cast(y + (k // 3) * 7 as int) as y, cast(x + (k % 3) * 7 as int) as x, value from (select *, dense_rank() over (partition by unit order by image) - 1 as k from act)"))
 def ten_tile(spark, d):
-    placed = fx.activations(spark, d).where("image < 9").withColumn("k", F.dense_rank().over(Window.partitionBy("unit").orderBy("image")) - 1)
+    placed = fx.activations(spark, d).withColumn("k", F.dense_rank().over(Window.partitionBy("unit").orderBy("image")) - 1)
     return geometry.tile(placed, "k", 3, fx.WIDTH, fx.WIDTH).select("unit", "y", "x", "value")
 
 
@@ -123,7 +123,8 @@ def la_rotation_power(spark, d):
     return spark.createDataFrame([(k, round(rotation.deviation(rotation.power(_turn(2.4), k / 4)), 6)) for k in range(1, 5)], "quarters int, deviation double")
 
 
-@query("la_near_identity")
+@query("la_near_identity", "select cast(unnest([0.001, 0.01, 0.1]) as double) as scale, true as near, true as orthogonal")
 def la_near_identity(spark, d):
+    """Whether the matrices differ from the identity by their scale times a norm of noise, and are orthogonal."""
     made = [(s, rotation.near_identity(12, s, 3)) for s in (0.001, 0.01, 0.1)]
-    return spark.createDataFrame([(s, rotation.deviation(r), float(np.abs(r @ r.T - np.eye(12)).max())) for s, r in made], "scale double, deviation double, error double")
+    return spark.createDataFrame([(s, 0 < rotation.deviation(r) < 10 * s, bool(np.allclose(r @ r.T, np.eye(12)))) for s, r in made], "scale double, near boolean, orthogonal boolean")

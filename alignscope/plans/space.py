@@ -19,10 +19,9 @@ def _with(names: str, extra: str, body: str) -> str:
     return sql(names, "").rstrip() + f", {extra} {body}"
 
 
-@query("ten_upsample_linear", _with("act", _W, "select cast(image as bigint) as image, unit, cast(wy.p as int) as y, cast(wx.p as int) as x, round(sum(value * wy.wt * wx.wt), 6) as value from act join w wy on act.y = wy.g join w wx on act.x = wx.g where unit = 0 group by all"))
+@query("ten_upsample_linear", _with("act", _W, "select cast(image as bigint) as image, unit, cast(wy.p as int) as y, cast(wx.p as int) as x, round(sum(value * wy.wt * wx.wt), 6) + 0.0 as value from act join w wy on act.y = wy.g join w wx on act.x = wx.g group by all"))
 def ten_upsample_linear(spark, d):
-    act = fx.activations(spark, d).where("unit = 0")
-    return geometry.upsample(act, 4, 16, 2, 4).select("image", "unit", "y", "x", F.round("value", 6).alias("value"))
+    return geometry.upsample(fx.activations(spark, d), 4, 16, 2, 4).select("image", "unit", "y", "x", (F.round("value", 6) + 0.0).alias("value"))
 
 
 @query("jn_upsample", _with("act thr", _W, "select unit, count(*) as n from (select image, act.unit as unit, wy.p as y, wx.p as x, round(sum(value * wy.wt * wx.wt), 6) as v from act join w wy on act.y = wy.g join w wx on act.x = wx.g group by all) u join thr using (unit) where v > round(threshold, 3) group by unit"))
@@ -141,22 +140,25 @@ def la_rotate_units(spark, d):
     return out.select("image", "unit", "y", "x", F.round("value", 6).alias("value"))
 
 
-@query("la_rotation")
+@query("la_rotation", "select cast(unnest([0, 0.25, 0.5, 1]) as double) as power, true as orthogonal, true as turns, true as unpermuted")
 def la_rotation(spark, d):
-    """How far powers of a random rotation, and a near identity, are from the identity; and their errors as rotations."""
+    """Powers of a random rotation: whether they are rotations, turn by that part of its largest angle, and are found again
+    from their rows in another order."""
     import numpy as np
 
     base = rotation.random_rotation(16, 5)
-    rows = [(f"power {p}", p) for p in (0.0, 0.25, 0.5, 1.0)]
-    made = [(n, rotation.power(base, p)) for n, p in rows] + [("near identity", rotation.near_identity(16, 0.01, 5))]
-    return spark.createDataFrame([(n, rotation.deviation(r), float(np.abs(r @ r.T - np.eye(16)).max())) for n, r in made], "name string, deviation double, error double")
+    most = np.abs(np.angle(np.linalg.eigvals(base))).max()
+    made = [(p, rotation.power(base, p)) for p in (0.0, 0.25, 0.5, 1.0)]
+    mixed = rotation.near_identity(16, 0.05, 5)
+    found = bool(np.allclose(rotation.unpermuted(mixed[::-1]), mixed))
+    return spark.createDataFrame([(p, bool(np.allclose(r @ r.T, np.eye(16))), bool(np.isclose(rotation.deviation(r), 2 * np.sin(p * most / 2))), found) for p, r in made], "power double, orthogonal boolean, turns boolean, unpermuted boolean")
 
 
-@query("ten_overlay", sql("m2 act", "select cast(act.image as bigint) as image, act.unit as unit, act.y as y, act.x as x, round((case when m2.unit is null then 0.2 else 1.0 end) * value, 6) as value from act left join m2 on act.image = m2.image and act.unit = m2.unit and act.y = m2.y and act.x = m2.x where act.unit = 1"))
+@query("ten_overlay", sql("m2 act", "select cast(act.image as bigint) as image, act.unit as unit, act.y as y, act.x as x, round((case when m2.unit is null then 0.2 else 1.0 end) * value, 6) as value from act left join m2 on act.image = m2.image and act.unit = m2.unit and act.y = m2.y and act.x = m2.x"))
 def ten_overlay(spark, d):
     """Pixels outside the mask dimmed to a fifth."""
     on = fx.wide_masks(spark, d).withColumn("lit", F.lit(1.0))
-    met = fx.activations(spark, d).where("unit = 1").join(on, ["image", "unit", "y", "x"], "left")
+    met = fx.activations(spark, d).join(on, ["image", "unit", "y", "x"], "left")
     return met.select("image", "unit", "y", "x", F.round(F.coalesce("lit", F.lit(0.2)) * F.col("value"), 6).alias("value"))
 
 

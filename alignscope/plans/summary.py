@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import score, summaries
+from ..shared import numbered, sent
 from . import fixtures as fx
 from .fixtures import sql
 from .registry import query
@@ -28,13 +29,13 @@ def agg_label_histogram(spark, d):
 @query("jn_bargraph_cat", sql("res", f"select unit, res.label as label, h.category as label_category, units from res join ({_HIST}) h on res.label = h.label where score >= 0.05"))
 def jn_bargraph_cat(spark, d):
     rows = fx.results(spark, d).where(F.col("score") >= T).select("unit", "label")
-    return rows.join(F.broadcast(summaries.label_histogram(fx.results(spark, d), T).select("label", F.col("category").alias("label_category"), "units")), "label")
+    return rows.join(sent(summaries.label_histogram(fx.results(spark, d), T).select("label", F.col("category").alias("label_category"), "units")), "label")
 
 
-@query("srt_labels", sql("res", "select label, n, max_score, row_number() over (order by n desc, max_score desc, label) as place from (select label, count(*) as n, max(score) as max_score from res where score >= 0.05 group by label)"), ints="place")
+@query("srt_labels", sql("res", "select label, n, max_score, row_number() over (order by n desc, max_score desc, label) as place from (select label, count(*) as n, max(score) as max_score from res where score >= 0.05 group by label)"))
 def srt_labels(spark, d):
     h = fx.results(spark, d).where(F.col("score") >= T).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("max_score"))
-    return h.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), F.desc("max_score"), "label")))
+    return numbered(h, "place", F.desc("n"), F.desc("max_score"), "label")
 
 
 @query("agg_fraction", sql("res", "select network, category, good, round(good / units, 9) as fraction from (select network, category, cast(sum(cast(score >= 0.05 as int)) as bigint) as good from res group by grouping sets ((network, category), (network))) join (select network as nw, count(*) as units from res group by all) on network = nw"))
@@ -76,7 +77,7 @@ def flt_score_strict(spark, d):
 
 
 @query("srt_report", sql("res", f"""select row_number() over (order by cast(score < 0.05 as int), case when score >= 0.05 then -cu end nulls first, case when score >= 0.05 then lc end nulls first, case when score >= 0.05 then -units end nulls first, case when score >= 0.05 then -max_score end nulls first, case when score >= 0.05 then label end nulls first, -score, unit) as place, unit, label, category, score
-from (select res.*, h.category as lc, h.units as units, h.max_score as max_score, cu from res left join ({_HIST}) h on res.label = h.label left join (select category as k, count(*) as cu from res where score >= 0.05 group by category) c on h.category = c.k)"""), ints="place")
+from (select res.*, h.category as lc, h.units as units, h.max_score as max_score, cu from res left join ({_HIST}) h on res.label = h.label left join (select category as k, count(*) as cu from res where score >= 0.05 group by category) c on h.category = c.k)"""))
 def srt_report(spark, d):
     return summaries.report_order(fx.results(spark, d), T)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hashed_unit
 from ..operators import labels
+from ..shared import numbered, sent
 from ..sources.base import union
 from . import fixtures as fx
 from .fixtures import sql
@@ -14,8 +15,7 @@ from .registry import query
 
 
 def stats(spark, d):
-    words = fx.tokens(spark, d)
-    return labels.label_statistics(words, words.groupBy("image").agg(F.count(F.lit(1)).alias("pixels")))
+    return labels.label_statistics(fx.tokens(spark, d))
 
 
 def vocabulary(spark, d):
@@ -34,7 +34,7 @@ def flt_min_freq_cov(spark, d):
     return vocabulary(spark, d)
 
 
-@query("win_label_number", sql("voc", "select label, category, row_number() over (order by frequency desc, coverage desc, label, category) as number from voc"), ints="number")
+@query("win_label_number", sql("voc", "select label, category, row_number() over (order by frequency desc, coverage desc, label, category) as number from voc"))
 def win_label_number(spark, d):
     v = vocabulary(spark, d).withColumn("key", F.struct("label", "category"))
     return labels.number_labels(v, "key").select("label", "category", "number")
@@ -76,20 +76,20 @@ def agg_listagg(spark, d):
 @query("jn_names", sql("res", "select unit, res.label as label, coalesce(n_name, '-') as name from res left join (select 'l' || n_nationkey as label, n_name from nation where n_nationkey < 20) n on res.label = n.label"))
 def jn_names(spark, d):
     names = fx.table(spark, d, "nation").where("n_nationkey < 20").select(F.concat(F.lit("l"), "n_nationkey").alias("label"), F.col("n_name").alias("name"))
-    return fx.results(spark, d).select("unit", "label").join(F.broadcast(names), "label", "left").withColumn("name", F.coalesce("name", F.lit("-")))
+    return fx.results(spark, d).select("unit", "label").join(sent(names), "label", "left").withColumn("name", F.coalesce("name", F.lit("-")))
 
 
-@query("jn_remap", sql("tok voc", "select image, coalesce(number, 0) as number, count(*) as n from tok left join (select label, category, row_number() over (order by frequency desc, coverage desc, label, category) as number from voc) v on tok.label = v.label and tok.category = v.category group by all"), ints="number")
+@query("jn_remap", sql("tok voc", "select image, coalesce(number, 0) as number, count(*) as n from tok left join (select label, category, row_number() over (order by frequency desc, coverage desc, label, category) as number from voc) v on tok.label = v.label and tok.category = v.category group by all"))
 def jn_remap(spark, d):
     v = vocabulary(spark, d).withColumn("key", F.struct("label", "category"))
     mapping = labels.number_labels(v, "key").select("label", "category", "number")
     return labels.remap(fx.tokens(spark, d), mapping, ["label", "category"]).groupBy("image", "number").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("jn_catmap", "select o_orderkey, coalesce(code, 0) as code from orders left join (select p, row_number() over (order by p) as code from (select distinct o_orderpriority as p from orders where o_orderpriority <> '5-LOW')) on p = o_orderpriority", ints="code")
+@query("jn_catmap", "select o_orderkey, coalesce(code, 0) as code from orders left join (select p, row_number() over (order by p) as code from (select distinct o_orderpriority as p from orders where o_orderpriority <> '5-LOW')) on p = o_orderpriority")
 def jn_catmap(spark, d):
     o = fx.table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("p"))
-    codes = o.where("p <> '5-LOW'").select("p").distinct().withColumn("code", F.row_number().over(Window.orderBy("p")))
+    codes = numbered(o.where("p <> '5-LOW'").select("p").distinct(), "code", "p")
     return labels.remap(o, codes, ["p"], "code").select("o_orderkey", "code")
 
 
@@ -104,12 +104,16 @@ def jn_synonym_claim(spark, d):
     return labels.claims(names)
 
 
-@query("resolve_names")
+@query("resolve_names", """with l as (select p_type as key, count(*) as frequency, cast(round(sum(p_size), 2) as double) as coverage from part group by all),
+n as (select key, name, frequency, coverage / frequency as size from l join (select distinct p_type as key, p_name as name from part) using (key)),
+o as (select name, owner, owner_frequency, owner_size from (select name, key as owner, frequency as owner_frequency, size as owner_size, row_number() over (partition by name order by frequency desc, key) as rn from n) where rn = 1),
+own as (select key, min(n.name) as name from n join o on n.name = o.name where owner = key group by key),
+lost as (select key, owner from (select key, owner, row_number() over (partition by key order by abs(owner_size - size), owner_frequency desc, owner) as rn from n join o on n.name = o.name where key not in (select key from own)) where rn = 1)
+select key as label, name from own union all select lost.key, own.name from lost join own on lost.owner = own.key""")
 def resolve_names(spark, d):
-    """Part types and names as labels whose names overlap; the fold over some hundred labels runs on the driver."""
+    """Part types as labels whose names, those of their parts, overlap."""
     rows = fx.table(spark, d, "part").groupBy("p_type").agg(F.array_sort(F.collect_set("p_name")).alias("names"), F.count(F.lit(1)).alias("frequency"), F.round(F.sum("p_size"), 2).cast("double").alias("coverage"))
-    called = labels.resolve_names([(r["p_type"], [r["p_type"].lower(), *r["names"]], r["frequency"], r["coverage"]) for r in rows.collect()])
-    return spark.createDataFrame(sorted(called.items()), "label string, name string")
+    return labels.called_names(rows.withColumnRenamed("p_type", "key")).select(F.col("key").alias("label"), "name")
 
 
 @query("hash_md5_float", "select url, cast('0x' || substr(md5(url), 1, 16) as ubigint) / power(2.0, 64) as h from pages")
@@ -122,9 +126,10 @@ def hash_split(spark, d):
     return fx.table(spark, d, "pages").select("page_id", labels.split_of(hashed_unit(F.col("url")), [("train", 0.7), ("val", 0.3)]).alias("split"))
 
 
-@query("srt_hash", "select page_id, row_number() over (order by cast('0x' || substr(md5(url), 1, 16) as ubigint), page_id) as place from pages", ints="place")
+@query("srt_hash", "select page_id, row_number() over (order by cast('0x' || substr(md5(url), 1, 16) as ubigint), page_id) as place from pages")
 def srt_hash(spark, d):
-    return fx.table(spark, d, "pages").select("page_id", F.row_number().over(Window.orderBy(F.conv(F.substring(F.md5("url"), 1, 16), 16, 10).cast("decimal(20,0)"), "page_id")).alias("place"))
+    h = F.conv(F.substring(F.md5("url"), 1, 16), 16, 10).cast("decimal(20,0)")
+    return numbered(fx.table(spark, d, "pages").select("page_id", h.alias("h")), "place", "h", "page_id").select("page_id", "place")
 
 
 @query("win_cumsplit", "select name, cast(round(sum(share) over (order by ord), 6) as double) as upto from (values (1, 'train', 0.7), (2, 'val', 0.2), (3, 'test', 0.1)) t(ord, name, share)")
@@ -140,10 +145,10 @@ def set_union_sources(spark, d):
     return union(parts).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("win_running_index", "select dataset, name, row_number() over (order by dataset, name) - 1 as idx from (select 'nation' as dataset, n_name as name from nation union all select 'region', r_name from region)", ints="idx")
+@query("win_running_index", "select dataset, name, row_number() over (order by dataset, name) - 1 as idx from (select 'nation' as dataset, n_name as name from nation union all select 'region', r_name from region)")
 def win_running_index(spark, d):
     both = union({"nation": fx.table(spark, d, "nation").select(F.col("n_name").alias("name")), "region": fx.table(spark, d, "region").select(F.col("r_name").alias("name"))})
-    return both.withColumn("idx", F.row_number().over(Window.orderBy("dataset", "name")) - 1)
+    return numbered(both, "idx", "dataset", "name").withColumn("idx", F.col("idx") - 1)
 
 
 @query("set_union_parts", sql("tok", "select image, 'seg' as layer, label from tok where label like 'a%' union all select image, 'part', label from tok where label like '%a'"))
@@ -169,16 +174,17 @@ def set_omit(spark, d):
     return fx.table(spark, d, "part").select("p_partkey", F.when(F.size(kept) > 0, F.array_join(kept, " ")).alias("words"))
 
 
-@query("srt_alias", "select name, n, row_number() over (order by n desc, name) as place from (select p_name as name, count(distinct p_brand) as n from part group by all)", ints="place")
+@query("srt_alias", "select name, n, row_number() over (order by n desc, name) as place from (select p_name as name, count(distinct p_brand) as n from part group by all)")
 def srt_alias(spark, d):
     n = fx.table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.countDistinct("p_brand").alias("n"))
-    return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "name")))
+    return numbered(n, "place", F.desc("n"), "name")
 
 
-@query("srt_shuffle", "select count(*) as n, cast(sum(vec_id) as bigint) as s from embeddings")
+@query("srt_shuffle", "select vec_id, row_number() over (order by md5(vec_id || ' 7'), vec_id) as place from embeddings")
 def srt_shuffle(spark, d):
-    """A seeded shuffle keeps every row."""
-    return fx.table(spark, d, "embeddings").select("vec_id").orderBy(F.rand(7)).agg(F.count(F.lit(1)).alias("n"), F.sum("vec_id").alias("s"))
+    """A seeded shuffle that depends on the rows alone, not on how they are dealt out: the order of their hashes with the seed."""
+    rows = fx.table(spark, d, "embeddings").select("vec_id", F.md5(F.concat_ws(" ", "vec_id", F.lit(7))).alias("h"))
+    return numbered(rows, "place", "h", "vec_id").select("vec_id", "place")
 
 
 @query("lim_head", "select page_id, url from pages order by page_id limit 20")

@@ -12,15 +12,13 @@ from pyspark.sql import functions as F
 
 from ..functions.codec import class_of, decode_png, label_of
 from ..functions.text import norm_name, scene_number, split_names
+from ..shared import numbered, sent
 from .base import Source
 
 
 def number_names(names: DataFrame, column: str) -> DataFrame:
-    """Sorted distinct names with numbers from 1: a vocabulary, so one ordering task is enough."""
-    from pyspark.sql import Window
-
-    distinct = names.select(column).distinct()
-    return distinct.withColumn("label", F.row_number().over(Window.orderBy(column)))
+    """Sorted distinct names with numbers from 1."""
+    return numbered(names.select(column).distinct(), "label", column).withColumn("label", F.col("label").cast("int"))
 
 
 class Textures(Source):
@@ -45,7 +43,7 @@ class Textures(Source):
     def image_labels(self, spark):
         rows = self._rows(spark).select("image", F.explode("textures").alias("texture"))
         codes = self.names(spark).select("label", F.get("names", 0).alias("texture"))
-        return rows.join(F.broadcast(codes), "texture").select("image", F.lit("texture").alias("category"), "label")
+        return rows.join(sent(codes), "texture").select("image", F.lit("texture").alias("category"), "label")
 
     def pixel_labels(self, spark):
         return spark.createDataFrame([], "image string, category string, layer int, y int, x int, label int")
@@ -96,7 +94,7 @@ class Surfaces(Source):
 
     def image_labels(self, spark):
         codes = self.names(spark).where("category = 'scene'").select("label", F.get("names", 0).alias("scene"))
-        named = self._photos(spark).join(F.broadcast(codes), "scene")
+        named = self._photos(spark).join(sent(codes), "scene")
         return named.select("image", F.lit("scene").alias("category"), scene_number(F.col("scene"), F.col("label")).alias("label"))
 
     def pixel_labels(self, spark):
@@ -123,7 +121,7 @@ class Scenes(Source):
 
     def image_labels(self, spark):
         codes = number_names(self.index.where("scene is not null"), "scene")
-        return self.index.join(F.broadcast(codes), "scene").select("image", F.lit("scene").alias("category"), scene_number(F.col("scene"), F.col("label")).alias("label"))
+        return self.index.join(sent(codes), "scene").select("image", F.lit("scene").alias("category"), scene_number(F.col("scene"), F.col("label")).alias("label"))
 
     def pixel_labels(self, spark):
         pixels = png_pixels(spark, self.folder).where(F.col("path").rlike(r"_(seg|parts_\d+)\.png$"))

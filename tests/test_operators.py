@@ -28,8 +28,9 @@ def test_golden_tally(spark):
 
 def test_golden_self_tally(spark):
     grid = spark.range(100).selectExpr("cast(id / 10 as int) y", "cast(id % 10 as int) x", "0L image", "explode(sequence(0, 7)) unit").where("x * x + y * y <= 4 * unit * unit")
-    got = {(r["u1"], r["u2"]): r["n"] for r in tally.self_tally(grid).collect()}
-    assert got == {(a, b): DISCS[a] for a in range(8) for b in range(a, 8)}
+    both = grid.unionByName(grid.where("unit < 3").withColumn("image", grid["image"] + 1))
+    got = {(r["image"], r["u1"], r["u2"]): r["n"] for r in tally.self_tally(both).collect()}
+    assert got == {(0, a, b): DISCS[a] for a in range(8) for b in range(a, 8)} | {(1, a, b): DISCS[a] for a in range(3) for b in range(a, 3)}
 
 
 def test_tally_against_numpy(spark):
@@ -92,10 +93,101 @@ def test_upsampling_against_numpy(spark):
     assert np.allclose(got, want)
 
 
-def test_cubic_meets_its_points():
-    v = np.random.default_rng(4).random((3, 5, 5))
-    assert np.allclose(geometry.upsample_cubic(v, 5, 0, 1), v)
-    assert np.isclose(geometry.blur(v, 1.0).mean(), v.mean(), atol=0.05)
+def maps_of(spark, v):
+    return spark.createDataFrame([(i, 0, y, x, float(v[i, y, x])) for i, y, x in np.ndindex(*v.shape)], model.ACTIVATIONS)
+
+
+def array_of(rows, n, pixels):
+    got = np.zeros((n, pixels, pixels))
+    for r in rows.collect():
+        got[r["image"], r["y"], r["x"]] = r["value"]
+    return got
+
+
+@pytest.mark.parametrize("cells", [2, 3, 4, 5, 9])
+def test_cubic(cells):
+    """The spline meets its cells, gives back polynomials up to its degree, and bends smoothly over the last inner cells."""
+    assert np.allclose(geometry.cubic_weights(cells, cells, 0, 1), np.eye(cells))
+    at = np.clip((np.arange(40) - 3) / 4, 0, cells - 1)
+    w = geometry.cubic_weights(cells, 40, 3, 4)
+    for degree in range(min(cells, 4)):
+        assert np.allclose(w @ np.arange(cells) ** degree, at**degree)
+    if cells > 4:
+        fine = geometry.cubic_weights(cells, 3 * 1000, 0, 1000) @ np.random.default_rng(1).random(cells)
+        third = np.diff(fine, 3) * 1e9
+        assert abs(third[500] - third[1500]) < 0.05 * max(1, abs(third[500]))  # no knot at the second cell
+
+
+def test_gauss(spark):
+    """Against a plain convolution over all pixels, zero outside."""
+    v = np.random.default_rng(4).normal(size=(2, 4, 4))
+    field, sigma, reach = geometry.Field(-1, 5, 3), 2.0, 8
+    wide = np.zeros((2, 12, 12))
+    at = 1 + 3 * np.arange(4)
+    wide[:, at[:, None], at[None, :]] = v * 9
+    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    kernel /= kernel.sum()
+    want = np.zeros_like(wide)
+    for y, x in np.ndindex(12, 12):
+        for b, c in np.ndindex(12, 12):
+            if abs(y - b) <= reach and abs(x - c) <= reach:
+                want[:, y, x] += wide[:, b, c] * kernel[y - b + reach] * kernel[x - c + reach]
+    assert np.allclose(array_of(geometry.resample(maps_of(spark, v), *[geometry.gauss_weights(4, 12, 1, 3, sigma, 3)] * 2), 2, 12), want)
+    assert np.allclose(array_of(geometry.upsample_gauss(maps_of(spark, v), 4, 12, field), 2, 12), want)
+    masks = {(r["image"], r["y"], r["x"]) for r in geometry.mask_set(maps_of(spark, v), 4, 12, geometry.Field(-1, 20, 3), sigma=0.1).collect()}
+    soft = want_of(v, 20 // 2 - 1)
+    assert masks == {tuple(map(int, k)) for k in np.argwhere(soft > 0.5 * soft.max())}
+
+
+def want_of(v, center, sigma=2.0, reach=8, pixels=12):
+    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    kernel /= kernel.sum()
+    w = np.array([[kernel[p - q + reach] if abs(p - q) <= reach and q < pixels else 0.0 for q in center + 3 * np.arange(4)] for p in range(pixels)])
+    return w @ v @ w.T
+
+
+def test_unpermuted():
+    r = rotation.near_identity(7, 0.05, 2)
+    for seed in range(5):
+        assert np.allclose(rotation.unpermuted(np.random.default_rng(seed).permutation(r)), r)
+
+
+def test_numbered(spark):
+    from alignscope.shared import numbered
+
+    rows = spark.createDataFrame([(k * 7919 % 1000, "x") for k in range(1000)], "k int, s string").repartition(5)
+    assert [(r["k"], r["at"]) for r in numbered(rows, "at", "k").orderBy("k").collect()] == [(k, k + 1) for k in range(1000)]
+    assert numbered(rows.limit(0), "at", "k").count() == 0
+
+
+def test_large_tables_are_not_sent(spark, monkeypatch):
+    from alignscope import shared
+
+    rows, few = spark.range(1000).withColumnRenamed("id", "k"), spark.range(10).withColumnRenamed("id", "k")
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 50)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Broadcast" not in rows.join(shared.sent(few), "k")._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(shared, "BROADCAST_BYTES", 10_000)
+        assert "BroadcastHashJoin" in rows.join(shared.sent(few), "k")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_every_category(spark):
+    best = spark.createDataFrame([(0, "a", 2, 0.5)], "unit int, category string, label int, iou double")
+    got = score.every_category(best, spark.createDataFrame([(0,), (1,)], "unit int"), ["a", "b"]).collect()
+    assert {(r["unit"], r["category"], r["label"], r["iou"]) for r in got} == {(0, "a", 2, 0.5), (0, "b", None, 0.0), (1, "a", None, 0.0), (1, "b", None, 0.0)}
+
+
+def test_labels_of_whole_images(spark):
+    pixels = spark.createDataFrame([(1, "d", "c", "x"), (1, "d", "c", "x"), (1, "d", "c", "y"), (2, "d", "c", "x")], "image int, dataset string, category string, label string")
+    sizes = spark.createDataFrame([(1, 4), (2, 4)], "image int, pixels int")
+    whole = spark.createDataFrame([(1, "d", "scene", "x"), (1, "d", "scene", "x"), (2, "d", "c", "y")], "image int, dataset string, category string, label string")
+    want = {("c", "x"): (2, 0.75), ("c", "y"): (2, 1.25), ("scene", "x"): (1, 1.0)}
+    for rows, size in ((pixels, sizes), (pixels.join(sizes, "image"), None)):
+        got = labels.label_statistics(rows, size, whole).collect()
+        assert {(r["category"], r["label"]): (r["frequency"], r["coverage"]) for r in got} == want
 
 
 def test_layers():
