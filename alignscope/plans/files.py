@@ -14,8 +14,8 @@ from ..shared import sent
 from ..sources import model, raw, tables, tensors
 from ..streaming.quantiles import SketchStore
 from . import fixtures as fx
-from .fixtures import scratch, sql
-from .registry import query
+from .fixtures import put, scratch, sql
+from .registry import oracle, query
 from .summary import _HIST, T
 
 
@@ -71,10 +71,29 @@ def snk_mmap(spark, d):
     return tensors.explode_packed(spark.read.parquet(path), "image", "values", fx.UNITS, fx.WIDTH)
 
 
-@query("snk_mat", sql("act", "select unit, min(value) as min_value, max(value) as max_value from act group by unit"))
+@query("snk_mat", sql("act", "select unit, cast(k - 1 as int) as idx, round(grid[22 - k], 6) as value from (select unit, quantile_cont(value, [i / 20.0 for i in range(21)]) as grid from act group by unit), range(1, 22) t(k)"))
 def snk_mat(spark, d):
+    """The quantile matrix, units by quantiles, stored once, exported as a MATLAB file and read back."""
+    import numpy as np
+
     store = Experiment(spark, scratch(spark, "store"))
-    return store.stage("conv5", "minmax", lambda: quantiles.extremes(fx.activations(spark, d)))
+    grid = store.stage("conv5", "quantiles", lambda: quantiles.quantile_grid(fx.activations(spark, d), count=21))
+    matrix = np.zeros((fx.UNITS, 21))
+    for r in grid.collect():  # units by quantiles
+        matrix[r["unit"], r["idx"]] = r["value"]
+    path = scratch(spark, "quantmat.mat")
+    put(spark, path, raw.write_mat({"quantmat": matrix}))
+
+    def read(frames):
+        import pandas as pd
+
+        for f in frames:
+            for content in f["content"]:
+                back = raw.read_mat(content)["quantmat"]
+                unit, idx = np.indices(back.shape, dtype=np.int32).reshape(2, -1)
+                yield pd.DataFrame({"unit": unit, "idx": idx, "value": back.reshape(-1)})
+
+    return spark.read.format("binaryFile").load(path).mapInPandas(read, "unit int, idx int, value double").withColumn("value", F.round("value", 6))
 
 
 @query("src_glob_latest", "select * from (values ('iter_20.caffemodel', 'quant-01.mmap')) t(latest, latest_decimal)")
@@ -169,21 +188,28 @@ def src_mean(spark, d):
     return model.channel_means(fx.activations(spark, d).withColumnRenamed("unit", "channel")).withColumn("mean", F.round("mean", 6))
 
 
-@query("snk_html", sql("res", f"select cast(sum(units) as bigint) as detectors, count(*) as concepts from ({_HIST})"))
-def snk_html(spark, d):
-    """The numbers of a report's headline, read back from the page."""
-    import re
+_REPORT = oracle("srt_report").replace("select row_number()", "select unit + 1 as unit, 'u' || unit || '.png' as src, row_number()").replace("as place, unit, label", "as place, label")
 
-    rows = fx.results(spark, d)
-    html = report.page("events", summaries.report_order(rows, T), summaries.label_histogram(rows, T))
-    units, concepts = re.search(r"<p>(\d+)/\d+ units cover (\d+) concepts", html).groups()
-    return spark.createDataFrame([(int(units), int(concepts))], "detectors long, concepts long")
 
+@query("snk_html", _REPORT)
+def snk_html(spark, d):
+    """A report with a picture for every unit, written, and its units read back from the page."""
+    rows, path = fx.results(spark, d), scratch(spark, "report.html")
+    pictures = rows.select("unit", F.format_string("u%d.png", "unit").alias("src"))
+    report.write_lines(report.page("events", summaries.report_order(rows, T), summaries.label_histogram(rows, T), pictures), path)
+    part = lambda n: F.regexp_extract("value", r'<li value="(\d+)">unit (\d+): (\S+) \((\S+)\) ([\d.]+)<br><img loading="lazy" src="([^"]+)"></li>', n)
+    items = spark.read.text(path).where("value like '<li %'")
+    return items.select(part(1).cast("long").alias("place"), part(2).cast("long").alias("unit"), part(3).alias("label"), part(4).alias("category"), part(5).cast("double").alias("score"), part(6).alias("src"))
 
-@query("snk_svg", sql("res", f"select count(*) as bars from ({_HIST})"))
+
+@query("snk_svg", sql("res", f"select place, label, units, cast(14 * (place - 1) as bigint) as x, round(100.0 * units / max(units) over (), 3) as tall from (select label, units, row_number() over (order by units desc, max_score desc, label) as place from ({_HIST}))"))
 def snk_svg(spark, d):
-    svg = report.histogram_svg(summaries.label_histogram(fx.results(spark, d), T))
-    return spark.createDataFrame([(svg.count("<rect "),)], "bars long")
+    """The bars of a written histogram, read back."""
+    path = scratch(spark, "bars.svg")
+    report.write_lines(report.bars_svg(summaries.label_histogram(fx.results(spark, d), T)), path)
+    part = lambda n: F.regexp_extract("value", r'<rect x="(\d+)" .* height="([\d.]+)" .*<title>(\S+): (\d+)</title>', n)
+    bars = spark.read.text(path).where("value like '<rect %'")
+    return bars.select((part(1).cast("long") / 14 + 1).cast("long").alias("place"), part(3).alias("label"), part(4).cast("long").alias("units"), part(1).cast("long").alias("x"), part(2).cast("double").alias("tall"))
 
 
 @query("src_html", sql("res", "select unit + 1 as unit, label, score from res"))
@@ -195,11 +221,13 @@ def src_html(spark, d):
     return spark.read.text(path).select(part(1).cast("long").alias("unit"), part(2).alias("label"), part(4).cast("double").alias("score"))
 
 
-@query("snk_readme", "select 2 as n_lines")
+@query("snk_readme", "select 'documents' as key, cast(count(*) as varchar) as value from documents union all select 'units', '4' union all select 'largest', cast(max(event_id) as varchar) from events")
 def snk_readme(spark, d):
+    """Provenance as text, read back as facts."""
     path = scratch(spark, "readme.txt")
-    spark.createDataFrame([(report.readme({"source": "driver tables", "units": fx.UNITS}),)], "value string").write.text(path)
-    return spark.read.text(path).where("value <> ''").agg(F.count(F.lit(1)).cast("int").alias("n_lines"))
+    facts = {"documents": fx.table(spark, d, "documents").count(), "units": fx.UNITS, "largest": fx.table(spark, d, "events").agg(F.max("event_id")).first()[0]}
+    put(spark, path, report.readme(facts).encode())
+    return tables.read_info(spark, path)
 
 
 @query("snk_syns", "select p_name || ': ' || string_agg(p_brand, '; ' order by p_brand) as value from (select distinct p_name, p_brand from part) group by p_name having count(*) > 1")
@@ -209,11 +237,23 @@ def snk_syns(spark, d):
     return spark.read.text(path)
 
 
-@query("snk_png_graph", sql("res", "select network, cast(round(1000 * good / units) as int) as permille from (select network, sum(cast(score >= 0.05 as int)) as good, count(*) as units from res group by network)"))
+@query("snk_png_graph", sql("res", "select network, category, cast(round(1000 * good / units) as int) as permille from (select network, category, cast(sum(cast(score >= 0.05 as int)) as bigint) as good from res group by all) join (select network as nw, count(*) as units from res group by all) on network = nw"))
 def snk_png_graph(spark, d):
-    """The points of a line graph: detectors of each network in thousandths."""
-    total = summaries.fractions(fx.results(spark, d), T).where(F.col("category").isNull())
-    return total.select("network", F.round(F.col("fraction") * 1000).cast("int").alias("permille"))
+    """A line graph of each network over categories, drawn, and its points read back from the picture."""
+    import numpy as np
+
+    from ..functions.codec import decode_png
+
+    rows = summaries.fractions(fx.results(spark, d), T).where(F.col("category").isNotNull()).collect()  # networks by categories
+    networks, kinds = (sorted({r[c] for r in rows}) for c in ("network", "category"))
+    share = {(r["network"], r["category"]): r["fraction"] for r in rows}
+    points = []
+    for n in networks:
+        picture = decode_png(report.line_graph([[share.get((n, k), 0.0) for k in kinds]], 1000, 40))
+        for j, k in enumerate(kinds):
+            if (n, k) in share:
+                points.append((n, k, int(1000 - np.flatnonzero((picture[:, 40 * j] == report.colour(0)).all(1))[0])))
+    return spark.createDataFrame(points, "network long, category string, permille int")
 
 
 #: The best label of each unit and category, over labels of images and of pixels, at the top tenth of activations.

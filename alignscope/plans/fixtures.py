@@ -66,6 +66,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/alignscope-{uuid.uuid4().hex}/{name}"
 
 
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file in any store that Spark writes to."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    stream.write(bytearray(data))
+    stream.close()
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 

@@ -27,6 +27,11 @@ def query(name: str, sql: str | None = None, ints: str = "") -> Callable[[Query]
     return add
 
 
+def oracle(name: str) -> str:
+    """The SQL of a query that is registered already."""
+    return _SQL[name]
+
+
 def _load() -> None:
     from . import alignment, columns, files, filters, sets, space, summary, vocabulary  # noqa: F401
 

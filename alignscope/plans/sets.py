@@ -10,19 +10,10 @@ from ..functions.codec import encode_png
 from ..operators import geometry, rotation, tally
 from ..sources import raw
 from . import fixtures as fx
-from .files import scratch
-from .fixtures import sql
+from .fixtures import put, scratch, sql
 from .registry import query
 
 
-def put(spark, path: str, data: bytes) -> None:
-    """A small file in any store that Spark writes to."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
-    stream.write(bytearray(data))
-    stream.close()
-
-
 def _pictures(spark, d, suffix: str = "") -> str:
     """One 2 x 2 picture a region: red counts regions in tens, green is 3, blue numbers columns."""
     folder = scratch(spark, "pictures")
@@ -37,10 +28,15 @@ def src_image(spark, d):
     return raw.image_pixels(spark, _pictures(spark, d)).select(F.regexp_extract("path", r"(p\d+)\.png", 1).alias("image"), "y", "x", "r", "g", "b")
 
 
-@query("src_ade", "select 'p' || r_regionkey || '.jpg' as image, 'object' as category, cast(y as int) as y, cast(x as int) as x, cast(r_regionkey * 256 + 3 as int) as label from region, range(2) s(y), range(2) t(x)")
+@query("src_ade", "select 'p' || r_regionkey || '.jpg' as image, 'object' as category, cast(y as int) as y, cast(x as int) as x, cast(r_regionkey * 256 + 3 as int) as label from region, range(2) s(y), range(2) t(x) union all select 'p' || r_regionkey || '.jpg', 'scene', null, null, cast(dense_rank() over (order by lower(r_name)) as int) from region")
 def src_ade(spark, d):
-    index = fx.table(spark, d, "region").select(F.concat(F.lit("p"), "r_regionkey", F.lit(".jpg")).alias("image"), F.lower("r_name").alias("scene"))
-    return raw.Scenes(_pictures(spark, d, "_seg"), index).pixel_labels(spark).select("image", "category", "y", "x", "label")
+    """Annotation pictures, and the scenes that the set's own MATLAB index names."""
+    folder, regions = _pictures(spark, d, "_seg"), fx.table(spark, d, "region").orderBy("r_regionkey").collect()
+    index = {"filename": [f"p{r['r_regionkey']}.jpg" for r in regions], "folder": ["x"] * len(regions), "scene": [r["r_name"].lower() for r in regions]}
+    put(spark, f"{folder}/index.mat", raw.write_mat({"index": [index]}))
+    source = raw.Scenes(folder, raw.scene_index(spark, f"{folder}/index.mat"))
+    whole = source.image_labels(spark).select("image", "category", F.lit(None).cast("int").alias("y"), F.lit(None).cast("int").alias("x"), "label")
+    return source.pixel_labels(spark).select("image", "category", "y", "x", "label").unionByName(whole)
 
 
 @query("src_ade_alt", "select 'p' || r_regionkey as image, cast(y as int) as y, cast(x as int) as x, cast(x + 1 as int) as instance from region, range(2) s(y), range(2) t(x)")
@@ -67,17 +63,17 @@ def src_pascal_partkey(spark, d):
     return spark.createDataFrame([(c, p, n) for c, parts in raw.read_part_key(text).items() for p, n in parts.items()], "class int, part string, number int")
 
 
-@query("src_pascal", "select * from (values ('object', 1, 8), ('object', 2, 8), ('part', 5, 3), ('part', 7, 2)) t(category, label, n)")
+@query("src_pascal", "select 'p' || r_regionkey as image, category, label, cast(n as bigint) as n from region, (values ('object', 1, 8), ('object', 2, 8), ('part', 5, 3), ('part', 7, 2)) t(category, label, n)")
 def src_pascal(spark, d):
-    """Two objects with parts, painted in order: category, label, pixels."""
-    left, right, some = np.zeros((4, 4)), np.zeros((4, 4)), np.zeros((4, 4))
-    left[:, :2], right[:, 2:], some[0, :3] = 1, 1, 1
-    last = np.zeros((4, 4))
-    last[3, 2:] = 1
-    objects = [{"class_ind": 1, "mask": left, "parts": [{"part_name": "head", "mask": some}]}, {"class_ind": 2, "mask": right, "parts": [{"part_name": "wheel", "mask": last}]}]
-    maps = raw.part_maps(objects, {1: {"head": 5}, 2: {"wheel": 7}}, (4, 4))
-    rows = [(c, int(n), int((m == n).sum())) for c, m in zip(("object", "part"), maps, strict=True) for n in np.unique(m[m > 0])]
-    return spark.createDataFrame(rows, "category string, label int, n int")
+    """A MATLAB file a region: two objects with parts, painted in order."""
+    folder = scratch(spark, "parts")
+    left, right, some, last = np.zeros((4, 4)), np.zeros((4, 4)), np.zeros((4, 4)), np.zeros((4, 4))
+    left[:, :2], right[:, 2:], some[0, :3], last[3, 2:] = 1, 1, 1, 1
+    objects = [{"class_ind": np.ones((1, 1)), "mask": left, "parts": [{"part_name": "head", "mask": some}]}, {"class_ind": np.full((1, 1), 2.0), "mask": right, "parts": [{"part_name": "wheel", "mask": last}]}]
+    for r in fx.table(spark, d, "region").collect():
+        put(spark, f"{folder}/p{r['r_regionkey']}.mat", raw.write_mat({"anno": [{"objects": objects}]}))
+    source = raw.Parts(folder, {1: {"head": 5}, 2: {"wheel": 7}}, {1: "cat", 2: "car"})
+    return source.pixel_labels(spark).groupBy("image", "category", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("ten_slideup", sql("m2", "select cast(image as bigint) as image, unit, x, y, row_number() over (partition by image, unit, x order by y) - 1 as place from m2"), ints="place")

@@ -231,6 +231,46 @@ def read_mat(data: bytes) -> dict[str, object]:
     return out
 
 
+def write_mat(variables: dict[str, object]) -> bytes:
+    """A MATLAB 5 file that ``read_mat`` reads: arrays of numbers, text, cells (lists) and structures (lists of dicts)."""
+
+    def element(kind: int, body: bytes) -> bytes:
+        return struct.pack("<II", kind, len(body)) + body + b"\0" * (-len(body) % 8)
+
+    def matrix(name: str, value: object) -> bytes:
+        def whole(flags: int, shape: tuple[int, ...], rest: bytes) -> bytes:
+            head = element(6, struct.pack("<II", flags, 0)) + element(5, struct.pack(f"<{len(shape)}i", *shape)) + element(1, name.encode("latin-1"))
+            return element(14, head + rest)
+
+        if isinstance(value, str):
+            return whole(4, (1, len(value)), element(4, np.array(list(map(ord, value)), "<u2").tobytes()))
+        if isinstance(value, list) and value and isinstance(value[0], dict):
+            fields = list(value[0])
+            names = b"".join(f.encode("latin-1").ljust(32, b"\0") for f in fields)
+            return whole(2, (1, len(value)), element(5, struct.pack("<i", 32)) + element(1, names) + b"".join(matrix("", v[f]) for v in value for f in fields))
+        if isinstance(value, list):
+            return whole(1, (len(value), 1), b"".join(matrix("", v) for v in value))
+        numbers = np.atleast_2d(np.asarray(value, "<f8"))
+        return whole(6, numbers.shape, element(9, numbers.tobytes(order="F")))
+
+    return b"MATLAB 5.0 MAT-file".ljust(124) + b"\x00\x01IM" + b"".join(matrix(n, v) for n, v in variables.items())
+
+
+def scene_index(spark: SparkSession, path: str) -> DataFrame:
+    """image, folder, scene from the MATLAB index of annotated scenes: one structure of cells, a cell an image."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for content in batch["content"]:
+                index = read_mat(content)["index"][0]
+                yield pd.DataFrame({"image": list(np.ravel(index["filename"])), "folder": list(np.ravel(index["folder"])), "scene": list(np.ravel(index["scene"]))}).map(lambda v: v if isinstance(v, str) else None)
+
+    return files.mapInPandas(run, "image string, folder string, scene string")
+
+
 def image_pixels(spark: SparkSession, path: str) -> DataFrame:
     """path, y, x, r, g, b of pictures in any format that Spark's image source decodes (its bytes come blue first)."""
     files = spark.read.format("image").load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
