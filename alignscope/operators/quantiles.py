@@ -10,6 +10,8 @@ from ..shared import sent
 
 #: Values kept by a sketch: at 24576 the tail of 0.5 % is right to about 0.1 %.
 SKETCH_K = 24576
+#: Most values of a group whose distinct values are held at once for an exact percentile.
+EXACT_UPTO = 10_000_000
 
 
 def number(value: Column) -> Column:
@@ -36,6 +38,14 @@ def sketch_thresholds(values: DataFrame, by: str = "unit", value: str = "value",
     return sketch.select(by, F.kll_sketch_get_quantile_double("sketch", F.lit(threshold_rank(share))).alias("threshold"))
 
 
+def bounded_thresholds(values: DataFrame, by: str = "unit", value: str = "value", share: float = TOP_SHARE, exact_upto: int = EXACT_UPTO) -> DataFrame:
+    """Exact thresholds as long as no group has more than ``exact_upto`` values, else sketched ones."""
+    most = values.groupBy(by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    if most <= exact_upto:
+        return thresholds(values, by, value, share)
+    return sketch_thresholds(values, by, value, share).withColumn("threshold", F.round("threshold", 9))
+
+
 def extremes(values: DataFrame, by: str = "unit", value: str = "value") -> DataFrame:
     return values.groupBy(by).agg(F.min(number(F.col(value))).alias("min_value"), F.max(number(F.col(value))).alias("max_value"))
 

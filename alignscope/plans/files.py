@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import Experiment
-from ..analysis import analyse, unify
+from ..analysis import analyse, build_dataset, unify
 from ..functions.codec import decode_labels, encode_labels
 from ..model import threshold_rank
 from ..operators import geometry, quantiles, report, summaries, tally
@@ -292,6 +292,38 @@ def pipeline_unify(spark, d):
     return unify(words, words.select("image", "pixels").distinct(), names)["vocabulary"].select("number", "name", "frequency", F.round("coverage", 6).alias("coverage"))
 
 
+_ZOOM = "(select cast(p as int) as p, cast(round_even(p * 3 / 7.0, 0) as int) as o from range(8) t(p))"
+
+
+@query("pipeline_dataset", sql("pl img", "").rstrip() + f""", z as (select image, 'p' || label as name, count(*) as n from pl join {_ZOOM} a on y = a.o join {_ZOOM} b on x = b.o group by all),
+v as (select name, count(*) as frequency, sum(c) as coverage from (select image, 'p' || label as name, count(*) / 16.0 as c from pl group by all union all select distinct image, 'k' || label, 1.0 from img) group by name having count(*) >= 10 and sum(c) >= 0.5)
+select cast(image as varchar) as image, 'pixel' as category, z.name as name, n from z join v on z.name = v.name union all select cast(image as varchar), 'whole', 'k' || label, 1 from img where 'k' || label in (select name from v)""")
+def pipeline_dataset(spark, d):
+    """Labels of pixels and of whole images made into a unified dataset with pictures of twice the size, and read back."""
+    folder = scratch(spark, "dataset")
+    source = lambda df, kind, name: df.select("image", F.lit("grid").alias("dataset"), F.lit(kind).alias("category"), F.concat(F.lit(name), "label").alias("label"), *[c for c in ("y", "x") if c in df.columns])
+    pixels, whole = source(fx.pixel_labels(spark, d), "pixel", "p"), source(fx.image_labels(spark, d), "whole", "k")
+    sizes = fx.image_labels(spark, d).select("image", F.lit(fx.PIXELS).alias("pixels"), F.lit(fx.WIDTH).alias("ih"), F.lit(fx.WIDTH).alias("iw"))
+    named = pixels.select("dataset", "category", "label").unionByName(whole.select("dataset", "category", "label")).distinct().withColumn("names", F.array("label", F.concat(F.lit("also "), "label"), F.lit("-")))
+    build_dataset(folder, pixels, sizes, named, 8, 8, whole)
+    back = tables.read_unified(spark, folder)
+
+    def read(frames):
+        import numpy as np
+        import pandas as pd
+
+        for f in frames:
+            for file, png in zip(f["file"], f["png"], strict=True):
+                number, n = np.unique(decode_labels(png), return_counts=True)
+                yield pd.DataFrame({"file": file, "number": number.astype(np.int32), "n": n.astype(np.int64)})
+
+    counts = spark.read.parquet(f"{folder}/pictures.parquet").mapInPandas(read, "file string, number int, n long").where("number > 0")
+    index = back["index"].select("image", "category", "label", "file")
+    drawn = index.join(counts, "file").select("image", "category", "number", "n")
+    listed = index.where("label is not null").select("image", "category", F.col("label").alias("number"), F.lit(1).cast("long").alias("n"))
+    return drawn.unionByName(listed).join(sent(back["label"].select("number", "name")), "number").select("image", "category", "name", "n")
+
+
 @query("streaming_quantiles", "select event_type, round(quantile_cont(value, 1 - 100 / 999.0), 6) as exact, true as close from events group by all")
 def streaming_quantiles(spark, d):
     """Exact thresholds, and whether those from merged sketches of micro-batches have the right share of values below them, to a

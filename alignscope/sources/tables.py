@@ -72,7 +72,7 @@ def wide_index(index: DataFrame, categories: list[str]) -> DataFrame:
 def write_unified(index: DataFrame, category: DataFrame, label: DataFrame, codes: DataFrame, folder: str) -> None:
     """The folder that ``read_unified`` reads. codes: category, code, number, name, frequency, coverage."""
     names = [r["name"] for r in category.orderBy("first").select("name").collect()]
-    write_csv(wide_index(index, names), f"{folder}/index.csv")
+    write_csv(wide_index(index, names), f"{folder}/index.csv", small=False)  # a row an image
     write_csv(category.orderBy("first"), f"{folder}/category.csv")
     write_csv(label.orderBy("number"), f"{folder}/label.csv")
     for name in names:

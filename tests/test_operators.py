@@ -75,6 +75,13 @@ def test_sketch_is_close(spark):
     assert abs((v > t).mean() - 0.005) < 0.0015
 
 
+def test_large_groups_are_sketched(spark):
+    v = np.random.default_rng(1).normal(size=9000)
+    rows = spark.createDataFrame([(0, float(x)) for x in v], "unit int, value double")
+    exact, sketched = (quantiles.bounded_thresholds(rows, exact_upto=n).first()["threshold"] for n in (9000, 8999))
+    assert exact == quantiles.thresholds(rows).first()["threshold"] and abs((v > sketched).mean() - 0.005) < 0.001
+
+
 def test_threshold_numbers():
     assert model.threshold_index() == 5 and model.quantile_code(0.005) == "005" and model.decode_quantile("005") == 0.005
     assert tensors.latest(["a1", "a12", "a3"]) == "a12" and tensors.latest([]) is None
