@@ -82,11 +82,11 @@ def unify(pixels: DataFrame, sizes: DataFrame, names: DataFrame, min_frequency:
     other names of its labels), the mapping of source labels to numbers, the dense codes of each category, and the images
     with a reproducible split.
     """
-    stats = lb.label_statistics(pixels, sizes, images)
+    stats = cut(lb.label_statistics(pixels, sizes, images))  # read several times below; pixels are counted once
     names = names.withColumn("names", F.filter("names", lambda n: ~n.isin("", "-")))
     key = F.concat_ws("\t", "dataset", "category", "label")
-    known = stats.join(names, ["dataset", "category", "label"]).select(key.alias("key"), "names", "frequency", "coverage")
-    named = stats.withColumn("key", key).join(lb.called_names(known), "key")
+    known = cut(stats.join(names, ["dataset", "category", "label"]).select(key.alias("key"), "names", "frequency", "coverage"))
+    named = cut(stats.withColumn("key", key).join(lb.called_names(known), "key"))
     total = named.groupBy("name").agg(F.sum("frequency").alias("frequency"), F.sum("coverage").alias("coverage"))
     shown = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("frequency")).alias("rank"), "category"))), lambda c: F.format_string("%s(%d)", c["category"], -c["rank"]))
     kinds = named.groupBy("name", "category").agg(F.sum("frequency").alias("frequency")).groupBy("name").agg(F.array_join(shown, ";").alias("category"))
