@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import threshold_rank
 from ..operators import quantiles, score, tally
-from ..shared import sent
+from ..shared import numbered, sent
 from ..sources import tensors
 from . import fixtures as fx
 from .fixtures import sql
@@ -213,16 +213,9 @@ def agg_pivot(spark, d):
     return score.wide(score.best_label(scored(spark, d)), ["c0", "c1"])
 
 
-@query("srt_units", sql("bl", "select unit, iou, row_number() over (order by iou desc, unit) as place from (select unit, max(iou) as iou from bl group by unit)"), ints="place")
+@query("srt_units", sql("bl", "select unit, iou, row_number() over (order by iou desc, unit) as place from (select unit, max(iou) as iou from bl group by unit)"))
 def srt_units(spark, d):
-    best = score.best_category(score.best_label(scored(spark, d))).select("unit", "iou")
-    return score.first_in(best.withColumn("k", F.lit(1)), ["unit"], F.col("unit")).withColumn("place", F.row_number().over(_by("iou", "unit"))).drop("k").select("unit", "iou", "place")
-
-
-def _by(value: str, tie: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(F.desc(value), F.col(tie))
+    return numbered(score.best_category(score.best_label(scored(spark, d))).select("unit", "iou"), "place", F.desc("iou"), "unit")
 
 
 @query("top_images_max", sql("act", "select unit, image, value, rank from (select *, row_number() over (partition by unit order by value desc, image) as rank from (select unit, cast(image as bigint) as image, max(value) as value from act group by all)) where rank <= 10"), ints="rank")

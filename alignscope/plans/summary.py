@@ -54,11 +54,11 @@ def agg_histc(spark, d):
     return n.withColumn("place", F.row_number().over(Window.partitionBy("network").orderBy(F.desc("n"), "label")))
 
 
-@query("agg_net_order", sql("res", "select network, total, row_number() over (order by total desc, network) as place from (select network, cast(sum(u) as bigint) as total from (select network, category, count(distinct label) as u from res where score > 0.05 group by all) group by network)"), ints="place")
+@query("agg_net_order", sql("res", "select network, total, row_number() over (order by total desc, network) as place from (select network, cast(sum(u) as bigint) as total from (select network, category, count(distinct label) as u from res where score > 0.05 group by all) group by network)"))
 def agg_net_order(spark, d):
     unique = summaries.detectors(fx.results(spark, d), T).where(F.col("category").isNotNull())
     total = unique.groupBy("network").agg(F.sum("unique_detectors").alias("total"))
-    return total.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total"), "network")))
+    return numbered(total, "place", F.desc("total"), "network")
 
 
 @query("agg_distinct", sql("res", "select category, count(distinct label) as n_labels from res where score >= 0.05 group by category"))

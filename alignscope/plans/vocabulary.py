@@ -48,7 +48,7 @@ def win_dense_code(spark, d):
 @query("agg_category_stats", "select r_name as category, min(n_nationkey) as first_number, max(n_nationkey) as last_number, count(*) as n_labels, cast(sum(c) as bigint) as frequency from nation join region on n_regionkey = r_regionkey join (select c_nationkey, count(*) as c from customer group by all) on c_nationkey = n_nationkey group by all")
 def agg_category_stats(spark, d):
     frequency = fx.table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("number")).agg(F.count(F.lit(1)).alias("frequency"))
-    nation = fx.table(spark, d, "nation").join(F.broadcast(fx.table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    nation = fx.table(spark, d, "nation").join(sent(fx.table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     return labels.category_statistics(nation.select(F.col("n_nationkey").alias("number"), F.col("r_name").alias("category")).join(frequency, "number"))
 
 
