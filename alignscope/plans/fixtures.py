@@ -113,4 +113,6 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
     """image, dataset, category, label, pixels: every word of a document as a labelled pixel, with the image's size."""
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("image"), F.col("source").alias("dataset"), F.col("lang").alias("category"), words.alias("words"))
-    return rows.select("image", "dataset", "category", F.size("words").alias("pixels"), F.explode("words").alias("w")).select("image", "dataset", "category", F.lower("w").alias("label"), "pixels")
+    # outer, as the planner adds tests of the array below an inner explode, which split each text again
+    each = rows.select("image", "dataset", "category", F.size("words").alias("pixels"), F.explode_outer("words").alias("w")).where("w is not null")
+    return each.select("image", "dataset", "category", F.lower("w").alias("label"), "pixels")
