@@ -265,8 +265,8 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE, bound: int
         return pa.RecordBatch.from_arrays([pa.array(p), pa.array(c)], ["pattern", "n"])
 
     body = F.coalesce(named(text).cast("string"), F.lit("")).alias("text")
-    # at most 3 ** len(LABELLERS) rows reach the driver
-    table = _mapped(docs, [body], votes, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas()
+    # at most 3 ** len(LABELLERS) rows reach the driver; in order, as sums of floats depend on it
+    table = _mapped(docs, [body], votes, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas().sort_values("pattern")
     if not len(table):
         return None
     patterns, counts = table["pattern"].to_numpy(np.int64), table["n"].to_numpy(float)
