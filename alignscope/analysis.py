@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -77,18 +79,21 @@ def unify(pixels: DataFrame, sizes: DataFrame, names: DataFrame, min_frequency:
 
     pixels: image, dataset, category, label (and pixels, see ``label_statistics``); sizes: image, pixels; images: the same
     as pixels for labels of whole images; names: dataset, category, label, names array<string>, of which empty ones and
-    "-" name nothing.
+    "-" name nothing. A null dataset or category is one like any other.
     Returns statistics per source label, the numbered vocabulary (with its frequency in each category, as text, and the
     other names of its labels), the mapping of source labels to numbers, the dense codes of each category, and the images
     with a reproducible split.
     """
     stats = cut(lb.label_statistics(pixels, sizes, images))  # read several times below; pixels are counted once
     names = names.withColumn("names", F.filter("names", lambda n: ~n.isin("", "-")))
-    key = F.concat_ws("\t", "dataset", "category", "label")
-    known = cut(stats.join(names, ["dataset", "category", "label"]).select(key.alias("key"), "names", "frequency", "coverage"))
+    parts = ["dataset", "category", "label"]
+    key = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in parts])
+    given = names.select("names", *[F.col(c).alias(f"given_{c}") for c in parts])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"given_{c}")) for c in parts])
+    known = cut(stats.join(given, same).select(key.alias("key"), "names", "frequency", "coverage"))
     named = cut(stats.withColumn("key", key).join(lb.called_names(known), "key"))
     total = named.groupBy("name").agg(F.sum("frequency").alias("frequency"), F.sum("coverage").alias("coverage"))
-    shown = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("frequency")).alias("rank"), "category"))), lambda c: F.format_string("%s(%d)", c["category"], -c["rank"]))
+    shown = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("frequency")).alias("rank"), "category"))), lambda c: F.format_string("%s(%d)", F.coalesce(c["category"], F.lit("-")), -c["rank"]))
     kinds = named.groupBy("name", "category").agg(F.sum("frequency").alias("frequency")).groupBy("name").agg(F.array_join(shown, ";").alias("category"))
     meant = known.select("key", F.explode("names").alias("other")).join(named.select("key", "name"), "key").where("other <> name")
     syns = meant.groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("other")), ";").alias("syns"))

@@ -30,14 +30,19 @@ def frequent(stats: DataFrame, min_frequency: int, min_coverage: float) -> DataF
     return stats.where((F.col("frequency") >= min_frequency) & (F.col("coverage") >= min_coverage))
 
 
+def _falling(name: str) -> list[Column]:
+    """By falling frequency, then coverage to six digits, as the last bits of a sum depend on its order, then name."""
+    return [F.desc("frequency"), F.round("coverage", 6).desc(), F.col(name)]
+
+
 def number_labels(stats: DataFrame, name: str = "label") -> DataFrame:
-    """Dense numbers from 1 by falling frequency, then coverage, then name."""
-    return numbered(stats, "number", F.desc("frequency"), F.desc("coverage"), F.col(name))
+    """Dense numbers from 1 by falling frequency, then coverage to six digits, then name."""
+    return numbered(stats, "number", *_falling(name))
 
 
 def dense_codes(stats: DataFrame, name: str = "label") -> DataFrame:
     """Numbers from 1 inside each category, in the same order."""
-    return stats.withColumn("code", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("frequency"), F.desc("coverage"), F.col(name))))
+    return stats.withColumn("code", F.row_number().over(Window.partitionBy("category").orderBy(*_falling(name))))
 
 
 def category_statistics(labels: DataFrame) -> DataFrame:

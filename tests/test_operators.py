@@ -283,3 +283,26 @@ def test_unify_query_against_brute_force(spark, tmp_path):
     assert {"ten", "pad"} < set(kept) and not {"nine", "thin"} & set(kept)
     got = sorted(tuple(r) for r in registry.queries()["pipeline_unify"](spark, str(tmp_path)).collect())
     assert got == [(n + 1, w, frequency[w], round(float(coverage[w]), 6)) for n, w in enumerate(kept)]
+
+
+def test_numbers_ignore_last_bits(spark):
+    """Sums that differ in their last bits, as the order of rows makes them, are a tie, which goes by name."""
+    stats = spark.createDataFrame([("c", "b", 12, 0.1 + 0.2 + 0.3), ("c", "a", 12, 0.3 + 0.2 + 0.1), ("c", "d", 12, 0.600001)], "category string, label string, frequency long, coverage double")
+    for numbers in (labels.number_labels(stats).select("number", "label"), labels.dense_codes(stats).select("code", "label")):
+        assert sorted(map(tuple, numbers.collect())) == [(1, "d"), (2, "a"), (3, "b")]
+
+
+def test_unify_query_against_sql(spark, tmp_path):
+    """Coverages that agree to six digits, words without a language, white space and capitals that SQL takes otherwise."""
+    import duckdb
+
+    both = [(i, "z a" + " pad" * 8, "en", "s") for i in range(10)]
+    # a covers 1/97 + 1/112 more, z 1/102 + 1/106, which is more by 3e-8
+    near = [(10 + i, w + " pad" * (n - 1), "en", "s") for i, (w, n) in enumerate((("a", 97), ("a", 112), ("z", 102), ("z", 106)))]
+    other = [(20 + i, "one\x0btwo three\fthree ΟΔΟΣ İz - Été", None if i % 2 else "de", None if i % 3 else "s") for i in range(24)]
+    spark.createDataFrame([*both, *near, *other, (50, None, "en", "s"), (51, " ", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(c.execute(registry.oracle_sql()["pipeline_unify"]).fetchall())
+    assert [w for _, w, _, _ in want] == ["three", "iz", "one\x0btwo", "été", "οδοσ", "pad", "a", "z"]
+    assert sorted(map(tuple, registry.queries()["pipeline_unify"](spark, str(tmp_path)).collect())) == want
