@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,14 @@ def filled(texts: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(texts.cast(pa.large_string()), "")
 
 
+def give_back() -> None:
+    """Free memory of this worker goes back to the system, as a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class Pieces:
     """Runs of values by number: ``expand`` gives the runs of many numbers, one after another."""
 
@@ -44,6 +53,21 @@ class Pieces:
         self.lens = np.fromiter(map(len, runs), np.int64, len(runs)) // np.dtype(dtype).itemsize
         self.starts = np.cumsum(self.lens) - self.lens
 
+    @classmethod
+    def of(cls, values: np.ndarray, lens: np.ndarray) -> Pieces:
+        """Runs of these lengths that stand one after another."""
+        out = cls.__new__(cls)
+        out.values, out.lens, out.starts = values, lens, np.cumsum(lens) - lens
+        return out
+
+    @classmethod
+    def joined(cls, parts: list[Pieces]) -> Pieces:
+        return cls.of(np.concatenate([p.values for p in parts]), np.concatenate([p.lens for p in parts]))
+
+    def take(self, numbers: np.ndarray) -> Pieces:
+        lens = self.lens[numbers]
+        return Pieces.of(self.expand(numbers, lens), lens)
+
     def expand(self, numbers: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """``lens`` is ``self.lens[numbers]``. Works in blocks, so that index arrays stay small."""
         out = np.empty(int(lens.sum()), self.values.dtype)

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import filled, slices
+from .chunks import filled, give_back, slices
 from .common import Tables, cut, fits_broadcast, fresh, join_groups, named
 from .components import components
 
@@ -152,6 +152,7 @@ def sketches(docs: DataFrame, text: str, doc_id: str, runs: int) -> DataFrame:
                     ],
                     ["doc_id", "body", "key", "n", "sig", "nodes"],
                 )
+        give_back()
 
     return identified(docs, text, doc_id).mapInArrow(run, "doc_id long, body long, key long, n long, sig binary, nodes array<long>")
 
@@ -365,6 +366,7 @@ def verify(docs: DataFrame, classes: DataFrame, groups: DataFrame, text: str, do
                 part = batch.slice(a, b - a)
                 keep = [k for k, (s, key) in enumerate(zip(sets, part.column(1).to_pylist(), strict=True)) if len(s) and set_key(s) == key]
                 yield pa.RecordBatch.from_arrays([*(c.take(pa.array(keep, pa.int32())) for c in part.columns[1:]), pa.array([sets[k].tobytes() for k in keep], pa.binary())], ["key", "size", "comp", "parts", "part", "shingles"])
+        give_back()
 
     sets = met.select("text", "key", "size", "comp", "parts", "part").mapInArrow(read, "key long, size long, comp long, parts int, part int, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")

@@ -17,7 +17,8 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +26,17 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .chunks import Pieces, bounds, filled, slices
+from .chunks import Pieces, bounds, filled, give_back, slices
 from .common import named
 
 SEQUENCE, END_ID = 4096, 2
 LINEAR, QUADRATIC = 1.0, 1.0 / SEQUENCE
 #: Tokens that are packed at once.
 WINDOW = 1 << 21
-#: Chunks and words that a Python worker remembers at most, and the longest remembered one.
-CACHE, LONGEST = 1 << 19, 256
+#: Chunks and, apart from them, words that a Python worker remembers at most, and bytes of the longest remembered one.
+CACHE, LONGEST = 1 << 17, 256
+#: Bytes of text that are encoded at once (a longer text goes alone), and strings that are encoded together.
+AT_ONCE, TOGETHER = 1 << 20, 1 << 15
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _SAFE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
@@ -67,6 +70,36 @@ def known_settings(path: str) -> list[str]:
     return [t["content"] for t in added]
 
 
+class Known:
+    """Runs of ids of strings that were met before, in flat arrays: about a fifth of the memory of a dict.
+
+    When there are too many, those of the last call stay, which hold the frequent ones.
+    """
+
+    def __init__(self) -> None:
+        self.names, self.runs = pa.array([], pa.large_string()), Pieces([], "<u2")
+
+    def runs_of(self, names: pa.Array, make: Callable[[list[str]], Pieces]) -> Pieces:
+        """A run for each of these different strings; ``make`` encodes those that aren't known."""
+        at = pc.index_in(names, value_set=self.names)
+        fresh = pc.is_null(at)
+        new = names.filter(fresh)
+        made = [make(new.slice(k, TOGETHER).to_pylist()) for k in range(0, len(new), TOGETHER)]
+        every = Pieces.joined([self.runs, *made])
+        where = np.array(pc.fill_null(at, 0))
+        where[np.asarray(fresh)] = len(self.names) + np.arange(len(new))
+        out = every.take(where)
+        if len(self.names) + len(new) > CACHE:
+            self.names, self.runs = names, out
+        else:
+            self.names, self.runs = pa.concat_arrays([self.names, new]), every
+        short = pc.less_equal(pc.binary_length(self.names), LONGEST)
+        if len(self.names) > CACHE or not pc.all(short).as_py():
+            stay = np.flatnonzero(short)[:CACHE]
+            self.names, self.runs = self.names.take(pa.array(stay)), self.runs.take(stay)
+        return out
+
+
 class WordTokenizer:
     """The tokenizer's ids, from a cache of white-space separated chunks.
 
@@ -85,42 +118,38 @@ class WordTokenizer:
         others = [b for b in range(256) if b not in printable]
         table = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
         self.letters = [table[b] for b in range(256)]
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            shown = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
-            got = np.array([t.id for t in self.model.tokenize(shown)], "<u2").tobytes()
-            if len(word) <= LONGEST:
-                self.words[word] = got
-        return got
-
-    def chunk(self, chunk: str) -> bytes:
-        if not _SAFE.fullmatch(chunk) or any(t in chunk for t in self.added):
-            return np.array(self.full.encode(chunk, add_special_tokens=False).ids if chunk else [], "<u2").tobytes()
-        return b"".join([self.word(p) for p in _PARTS.findall(chunk.lower())])
+        self.chunks, self.words = Known(), Known()
+
+    def _words(self, words: list[str]) -> Pieces:
+        shown = (w if w.isascii() else "".join([self.letters[b] for b in w.encode()]) for w in words)
+        return Pieces([array("H", [t.id for t in self.model.tokenize(w)]).tobytes() for w in shown], "<u2")
+
+    def _chunks(self, chunks: list[str]) -> Pieces:
+        parts: list[str] = []
+        counts, odd, odd_runs = np.zeros(len(chunks) + 1, np.int64), [], []
+        for k, chunk in enumerate(chunks):
+            if not _SAFE.fullmatch(chunk) or any(t in chunk for t in self.added):
+                odd.append(k)
+                odd_runs.append(np.array(self.full.encode(chunk, add_special_tokens=False).ids if chunk else [], "<u2").tobytes())
+            else:
+                own = _PARTS.findall(chunk.lower())
+                parts += own
+                counts[k + 1] = len(own)
+        coded = pa.array(parts, pa.large_string()).dictionary_encode()
+        words, numbers = self.words.runs_of(coded.dictionary, self._words), coded.indices.to_numpy()
+        lens = words.lens[numbers]
+        plain = Pieces.of(words.expand(numbers, lens), np.diff(bounds(lens, np.cumsum(counts))))
+        if not odd:
+            return plain
+        order = np.arange(len(chunks))
+        order[odd] = len(chunks) + np.arange(len(odd))
+        return Pieces.joined([plain, Pieces(odd_runs, "<u2")]).take(order)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and where each text's begin."""
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        cache = self.chunks
-        if len(cache) > CACHE:
-            cache.clear()
-        if len(self.words) > CACHE:
-            self.words.clear()
-        runs = []
-        for name in names:
-            run = cache.get(name)
-            if run is None:
-                run = self.chunk(name)
-                if len(name) <= LONGEST:
-                    cache[name] = run
-            runs.append(run)
-        pieces, numbers = Pieces(runs, "<u2"), coded.indices.to_numpy()
+        pieces, numbers = self.chunks.runs_of(coded.dictionary, self._chunks), coded.indices.to_numpy()
         offsets = np.asarray(lists.offsets)
         lens = pieces.lens[numbers]
         return pieces.expand(numbers, lens), bounds(lens, offsets - offsets[0])
@@ -216,7 +245,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", doc_id:
         tokens = 0
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), filled(batch.column(1))
-            for a, b in slices(texts):
+            for a, b in slices(texts, AT_ONCE):
                 ids, begins = coder.encode(texts.slice(a, b - a))
                 for k in range(b - a):
                     own = np.append(ids[begins[k] : begins[k + 1]], np.uint16(END_ID))
@@ -229,5 +258,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", doc_id:
                     made += len(sequences)
         sequences, _ = pack(waiting, True, size)
         yield _rows(sequences, made)
+        del sequences, waiting
+        give_back()
 
     return docs.select(named(doc_id).cast("long").alias("doc_id"), named(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)

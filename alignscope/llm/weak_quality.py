@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import filled, slices
+from .chunks import filled, give_back, slices
 from .common import named
 
 SAMPLE, SAMPLE_BOUND, ROUNDS, EPOCHS = 4000, 5000, 200, 120
@@ -60,6 +60,9 @@ _CLASS = _classes()
 BELIEF = np.array([[0.05, 0.7, 0.25], [0.05, 0.94, 0.01]])
 BELIEF_SHARE = 0.5
 
+#: Bytes of text that are worked on at once (a longer text goes alone).
+AT_ONCE = 1 << 18
+
 #: The labellers: name, value (a column of ``profile``), good when at most, bad when at least; in between no vote.
 LABELLERS = (
     ("symbols a word", 0, 0.1, 0.4),
@@ -247,14 +250,15 @@ class Model:
         return np.where(total > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), self.empty)
 
 
-def _mapped(docs: DataFrame, columns: list, work, schema: str) -> DataFrame:
-    """Apply ``work(rest of the batch, texts)`` to slices of the last column's texts."""
+def _mapped(docs: DataFrame, columns: list, work, schema: str, at: int = -1) -> DataFrame:
+    """Apply ``work(rest of the batch, texts)`` to slices of the texts, which are the last column or number ``at``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = filled(batch.column(batch.num_columns - 1))
-            for a, b in slices(texts, 1 << 20):
+            texts = filled(batch.column(at % batch.num_columns))
+            for a, b in slices(texts, AT_ONCE):
                 yield work(batch.slice(a, b - a), texts.slice(a, b - a).to_pylist())
+        give_back()
 
     return docs.select(*columns).mapInArrow(run, schema)
 
@@ -314,11 +318,14 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     model = train(docs, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    # plain names inside, as Arrow maps don't take every name; texts that are a column already aren't sent twice
+    columns = [named(c).alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    inside = docs.select(*columns)
+    there = (text, "string") in docs.dtypes
+
     def kept(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
-        own = pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1]))
+        own = batch if there else pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1]))
         return own.filter(pa.array(shared.value.score(texts) >= KEEP))
 
-    # plain names inside, as Arrow maps don't take every name
-    columns = [named(c).alias(f"c{k}") for k, c in enumerate(docs.columns)]
-    inside = docs.select(*columns)
-    return _mapped(docs, [*columns, named(text).cast("string").alias("text")], kept, inside.schema).toDF(*docs.columns)
+    more = [] if there else [named(text).cast("string").alias("text")]
+    return _mapped(docs, [*columns, *more], kept, inside.schema, docs.columns.index(text) if there else -1).toDF(*docs.columns)

@@ -361,6 +361,49 @@ def test_packing(make, prose):
     assert sum(r["length"] for r in same) == 9 and {(r["doc_id"], r["doc_tokens"]) for r in same} == {(1, 3), (None, 3)}
 
 
+def test_packing_remembers_little():
+    """What a worker keeps of 300,000 different words is bounded in bytes, and frequent words that stay have their ids."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    coder = packing.WordTokenizer(path("word_bpe_49k.json"))
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    for k in range(0, 300_000, 10_000):
+        coder.encode(pa.array([" ".join(f"the Né{i:x}," for i in range(k, k + 10_000))], pa.large_string()))
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert held < 24 << 20
+
+
+def test_classifier_sends_texts_once(make, prose):
+    """Texts go to Python in one column, also beside others; a column that isn't a string is read as one."""
+    docs = make([*[prose(k, 80) for k in range(30)], None])
+    kept = weak_quality.keep_good(docs)
+    assert "cast(text#" not in kept._jdf.queryExecution().analyzed().toString() and kept.columns == docs.columns
+    raw = docs.withColumn("text", docs["text"].cast("binary"))
+    assert sorted(r["doc_id"] for r in weak_quality.keep_good(raw).collect()) == sorted(r["doc_id"] for r in kept.collect())
+
+
+def test_packing_forgets_rightly(monkeypatch, prose):
+    """Whatever is remembered, forgotten or too long to remember, ids are those of the library."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(path("word_bpe_49k.json"))
+    texts = [prose(k % 7, 60 + k) + " Don't, 漢字 <|endoftext|>a " + "y" * (k % 5) * 9 + f" w{k}" for k in range(60)] + ["", " ", "İ", "<|endoftext|>"]
+    for cache, longest, together in [(1, 256, 1 << 15), (40, 6, 3), (10_000, 4, 7), (10_000, 0, 1)]:
+        for name, value in (("CACHE", cache), ("LONGEST", longest), ("TOGETHER", together)):
+            monkeypatch.setattr(packing, name, value)
+        coder = packing.WordTokenizer(path("word_bpe_49k.json"))
+        for k in range(0, len(texts), 8):
+            ids, begins = coder.encode(pa.array(texts[k : k + 8], pa.large_string()))
+            for i, t in enumerate(texts[k : k + 8]):
+                assert ids[begins[i] : begins[i + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids
+            assert all(len(known.names) == len(known.runs.lens) <= cache for known in (coder.chunks, coder.words))
+
+
 def test_packing_balances_costs():
     rng = np.random.default_rng(1)
     pieces = [packing.Piece(i, 0, n, np.zeros(n, np.uint16)) for i, n in enumerate(rng.integers(10, 3000, 400).tolist())]
